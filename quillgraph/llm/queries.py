@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_simhash
+from . import op01_simhash, op02_quality
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return op01_simhash.near_duplicates(_documents(spark, folder))
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return op02_quality.retained(_documents(spark, folder), _table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
