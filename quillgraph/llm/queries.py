@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_simhash, op02_quality
+from . import op01_simhash, op02_quality, op08_decontamination
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,8 +25,12 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return op02_quality.retained(_documents(spark, folder), _table(spark, folder, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return op08_decontamination.contaminated(_documents(spark, folder), _table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
