@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_simhash, op02_quality, op08_decontamination
+from . import op01_simhash, op02_quality, op04_mixing, op08_decontamination
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,9 +29,13 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return op08_decontamination.contaminated(_documents(spark, folder), _table(spark, folder, "benchmark"))
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return op04_mixing.mixed(_documents(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op8_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op8_decontamination, op4_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {, "op4_mixing": op04_mixing.ORACLE_SQL.format(docs="documents")}
