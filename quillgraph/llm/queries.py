@@ -38,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {, "op4_mixing": op04_mixing.ORACLE_SQL.format(docs="documents")}
+    return {"op4_mixing": op04_mixing.ORACLE_SQL.format(docs="documents")}
