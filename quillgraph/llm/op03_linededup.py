@@ -186,6 +186,36 @@ def _closest(rows: np.ndarray, everything: bool) -> np.ndarray:
     return out
 
 
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), l AS (
+  SELECT doc_id, i - 1 AS line, list_sort(list_distinct(regexp_extract_all(lower(lines[i]), '[0-9a-z_\x{{80}}-\x{{10FFFF}}]+'))) AS words
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), n AS (
+  SELECT doc_id, line, words, row_number() OVER (PARTITION BY words ORDER BY doc_id, line) AS nth FROM l WHERE len(words) > 0
+), f AS (
+  SELECT row_number() OVER (ORDER BY doc_id, line) AS id, doc_id, line, words, len(words) AS size FROM n WHERE nth = 1
+), w AS (
+  SELECT id, size, unnest(words) AS word FROM f
+), m AS (
+  SELECT b.id FROM w a JOIN w b ON a.word = b.word AND a.id < b.id AND a.size * 10 >= b.size * 9 AND b.size * 10 >= a.size * 9
+  GROUP BY a.id, b.id, a.size, b.size HAVING count(*) * 19 >= (a.size + b.size) * 9
+), r AS (
+  SELECT doc_id, line FROM n WHERE nth > 1 UNION SELECT f.doc_id, f.line FROM f JOIN m USING (id)
+), g AS (
+  SELECT doc_id, list(line) AS lost FROM r GROUP BY doc_id
+), c AS (
+  SELECT d.doc_id, g.lost, d.text AS old, d.lang, d.source, d.n_chars,
+         CASE WHEN g.lost IS NULL THEN d.text
+              ELSE list_aggregate(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(g.lost, i - 1)), 'string_agg', chr(10)) END AS text
+  FROM {docs} d LEFT JOIN g ON d.doc_id = g.doc_id
+)
+SELECT doc_id, text, lang, source, CASE WHEN lost IS NULL THEN n_chars ELSE length(text) END AS n_chars
+FROM c WHERE lost IS NULL OR regexp_matches(text, '[0-9A-Za-z_\x{{80}}-\x{{FFFF}}]')
+"""
+
+
 class _Join:
     """The stages of the join over one DataFrame of (doc_id, text)."""
 

@@ -42,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": op04_mixing.ORACLE_SQL.format(docs="documents")}
+    return {"op3_line_dedup": op03_linededup.ORACLE_SQL.format(docs="documents"), "op4_mixing": op04_mixing.ORACLE_SQL.format(docs="documents")}
