@@ -70,7 +70,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, sig): rows with a doc_id and at least one word."""
     totals = word_frequencies(docs)
     n = int(totals[-1])
-    weights = docs.sparkSession.sparkContext.broadcast(np.maximum(0.0, np.log((n + 1) / (totals[:-1] + 0.5))).astype(np.float32))
+    weights = P.Shared(docs.sparkSession, np.maximum(0.0, np.log((n + 1) / (totals[:-1] + 0.5))).astype(np.float32))
 
     def sign(batches):
         table, lut = weights.value, _lut()

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import packing as P
 from . import textblock as T
 
 TRAIN_DOCS = 3000
@@ -269,7 +270,7 @@ def retained(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE) -
     Repeated rows are judged each; a null doc_id is kept as null; other columns are not read.
     Labels other than 0 and 1 are ignored, and the worst label of a repeated doc_id counts.
     """
-    field = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    field = P.Shared(docs.sparkSession, fitted(docs, labels))
 
     def judge(batches):
         for batch in batches:
@@ -282,7 +283,7 @@ def retained(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE) -
 
 def filtered(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns, decided as in ``retained``."""
-    field = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    field = P.Shared(docs.sparkSession, fitted(docs, labels))
 
     def judge(batches):
         for batch in batches:

@@ -223,7 +223,7 @@ class _Join:
         self.docs, self.num, self.den = docs, num, den
         self.spark = docs.sparkSession
         self.width = P.shuffle_width(self.spark)
-        self.rank = self.spark.sparkContext.broadcast(rarity(docs))
+        self.rank = P.Shared(self.spark, rarity(docs))
 
     def blocks(self) -> DataFrame:
         rank, width, num, den = self.rank, self.width, self.num, self.den
@@ -264,7 +264,7 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(yd, yl) of the pairs whose Jaccard similarity reaches the threshold on their words."""
-        marks = self.spark.sparkContext.broadcast(_marks(pairs))
+        marks = P.Shared(self.spark, _marks(pairs))
 
         def lines(batches):
             for batch in batches:
@@ -347,7 +347,7 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN, slice_of: in
     n = rest.count()
     for k in range(-(-n // slice_of)):
         rows = rest.filter(F.pmod(F.xxhash64("yd", "yl"), F.lit(-(-n // slice_of))) == k).toPandas()
-        only = join.spark.sparkContext.broadcast(np.sort(_line_key(rows["yd"].to_numpy(), rows["yl"].to_numpy())))
+        only = P.Shared(join.spark, np.sort(_line_key(rows["yd"].to_numpy(), rows["yl"].to_numpy())))
         pairs = P.checkpointed(join.pairs(only).select("yd", "yl", "xd", "xl").distinct())
         removed.append(join.verified(pairs))
     result = removed[0]

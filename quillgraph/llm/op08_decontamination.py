@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import packing as P
 from . import textblock as T
 
 MIN_WORDS = 10
@@ -187,7 +188,7 @@ def _test_sets(benchmark: DataFrame, min_words: int):
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     for k in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(test_set([r[0] for r in rows], [r[1] for r in rows], min_words))
+        yield P.Shared(benchmark.sparkSession, test_set([r[0] for r in rows], [r[1] for r in rows], min_words))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

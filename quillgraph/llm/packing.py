@@ -8,12 +8,14 @@ that neither the JVM nor Python touches single records. Destinations are as many
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,22 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     return wanted if wanted.lower() not in taken else f"{wanted}_{uuid.uuid4().hex[:8]}"
 
 
+class Shared:
+    """A broadcast value that may hold objects of this package, which executors needn't have installed."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self):
+        return {"_sent": self._sent}
+
+    @property
+    def value(self):
+        if "_loaded" not in self.__dict__:
+            self._loaded = pickle.loads(self._sent.value)
+        return self._loaded
+
+
 class Router:
     """Gathers records of one numpy dtype for destinations 0..n-1 and emits them as blocks."""
 
