@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_simhash, op02_quality, op03_linededup, op04_mixing, op08_decontamination
+from . import op01_simhash, op02_quality, op03_linededup, op04_mixing, op06_language, op08_decontamination
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,8 +37,12 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return op03_linededup.deduplicated(_documents(spark, folder))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return op06_language.identified(_documents(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op8_decontamination, op4_mixing, op3_line_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op8_decontamination, op4_mixing, op3_line_dedup, op6_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
