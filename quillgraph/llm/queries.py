@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_simhash, op02_quality, op03_linededup, op04_mixing, op06_language, op08_decontamination
+from . import op01_simhash, op02_quality, op03_linededup, op04_mixing, op06_language, op08_decontamination, op09_licenses
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,9 +41,13 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return op06_language.identified(_documents(spark, folder))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return op09_licenses.scanned(_documents(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op8_decontamination, op4_mixing, op3_line_dedup, op6_language_id)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op8_decontamination, op4_mixing, op3_line_dedup, op6_language_id, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": op03_linededup.ORACLE_SQL.format(docs="documents"), "op4_mixing": op04_mixing.ORACLE_SQL.format(docs="documents")}
+    return {"op3_line_dedup": op03_linededup.ORACLE_SQL.format(docs="documents"), "op4_mixing": op04_mixing.ORACLE_SQL.format(docs="documents"), "op9_license_scan": op09_licenses.ORACLE_SQL.replace("{docs}", "documents")}
