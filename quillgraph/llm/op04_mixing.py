@@ -54,8 +54,8 @@ def _fraction(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 5), 16, 10).cast("long")
 
 
-def rates(sizes: DataFrame, weights: dict[str | None, float] | None, epochs: float, seed: str) -> DataFrame:
-    """Expected copies a document and offset, in 1/2**20, of each source of (source, chars)."""
+def rates(sizes: DataFrame, key: str, weights: dict[str | None, float] | None, epochs: float, seed: str) -> DataFrame:
+    """Expected copies a document and offset, in 1/2**20, of each source of (key, source, chars)."""
     whole = Window.partitionBy(F.lit(1))  # over the sources, of which there are few
     if weights is None:
         share = F.lit(1.0) / F.count("*").over(whole)
@@ -65,7 +65,7 @@ def rates(sizes: DataFrame, weights: dict[str | None, float] | None, epochs: flo
         for source, weight in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(weight / total)).otherwise(share)
     wanted = F.sum("chars").over(whole).cast("double") * share / F.col("chars") * F.lit(epochs * ONE)
-    return sizes.select("source", F.when(F.col("chars") == 0, F.lit(0)).otherwise(F.floor(wanted)).cast("long").alias("rate"), _fraction(F.concat(F.coalesce("source", F.lit("")), F.lit(f":{seed}"))).alias("shift"))
+    return sizes.select(key, F.when(F.col("chars") == 0, F.lit(0)).otherwise(F.floor(wanted)).cast("long").alias("rate"), _fraction(F.concat(F.coalesce("source", F.lit("")), F.lit(f":{seed}"))).alias("shift"))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = EPOCHS, seed: str = SEED, ranges: int | None = None) -> DataFrame:
@@ -80,21 +80,22 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, epoch
     """
     ranges = ranges or 4 * P.shuffle_width(docs.sparkSession)
     docs = docs.drop("copy_no")
-    row, part, rate, shift, upto = (P.fresh_name(docs, f"mix_{x}") for x in ("row", "range", "rate", "shift", "upto"))
+    row, part, key, rate, shift, upto = (P.fresh_name(docs, f"mix_{x}") for x in ("row", "range", "source", "rate", "shift", "upto"))
     keyed = docs.withColumn(row, F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
     cut = _ranges(docs.select("doc_id"), "doc_id", max(2, ranges))
     bucketizer = Bucketizer(splits=cut, inputCol=row, outputCol=part, handleInvalid="keep")
-    keyed = bucketizer.transform(keyed).withColumn(part, F.col(part).cast("int")).drop(row)
-    sums = keyed.groupBy(F.col("source"), F.col(part).alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    # a key without nulls, so that the join and the window share one exchange of the texts
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
+    keyed = bucketizer.transform(keyed).withColumn(part, F.col(part).cast("int")).withColumn(key, named).drop(row)
+    sums = keyed.groupBy(key, part).agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     sums = P.checkpointed(sums)
-    rate_of = rates(sums.groupBy("source").agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")), weights, epochs, seed)
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")
-    starts = sums.withColumn("before", before).join(rate_of.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    starts = starts.select(F.col("source").alias(f"{part}_source"), F.col("part").alias(f"{part}_part"), F.col("rate").alias(rate), (F.col("before") * F.col("rate") + F.col("shift")).alias(shift))
-    within = Window.partitionBy("source", part).orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rate_of = rates(sums.groupBy(key).agg(F.first("source").alias("source"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")), key, weights, epochs, seed)
+    before = F.sum("n").over(Window.partitionBy(key).orderBy(part)) - F.col("n")
+    starts = sums.withColumn("before", before).join(rate_of, key)
+    starts = starts.select(key, part, F.col("rate").alias(rate), (F.col("before") * F.col("rate") + F.col("shift")).alias(shift))
+    within = Window.partitionBy(key, part).orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     placed = keyed.withColumn(upto, F.row_number().over(within).cast("long"))
-    same = F.col("source").eqNullSafe(F.col(f"{part}_source")) & (F.col(part) == F.col(f"{part}_part"))
-    joined = placed.join(starts, same).withColumn(upto, F.col(upto) * F.col(rate) + F.col(shift))
+    joined = placed.join(starts, [key, part]).withColumn(upto, F.col(upto) * F.col(rate) + F.col(shift))
     copies = F.shiftright(upto, 20) - F.shiftright(F.col(upto) - F.col(rate), 20)
     emitted = joined.withColumn(upto, copies).filter(F.col(upto) > 0)
     return emitted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(upto).cast("int"))).alias("copy_no"))
