@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_simhash, op02_quality, op03_linededup, op04_mixing, op06_language, op07_toxicity, op08_decontamination, op09_licenses, op10_secrets
+from . import op01_simhash, op02_quality, op03_linededup, op04_mixing, op05_html, op06_language, op07_toxicity, op08_decontamination, op09_licenses, op10_secrets
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return op07_toxicity.toxic(_documents(spark, folder), _table(spark, folder, "labels"))
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return op05_html.extracted(_table(spark, folder, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op8_decontamination, op4_mixing, op3_line_dedup, op6_language_id, op9_license_scan, op10_secret_scan, op7_toxicity)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op8_decontamination, op4_mixing, op3_line_dedup, op6_language_id, op9_license_scan, op10_secret_scan, op7_toxicity, op5_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
