@@ -41,9 +41,9 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 def _count_words(batch: pa.RecordBatch, totals: np.ndarray) -> None:
     for _, _, data, offsets in T.text_blocks(T.lowered(batch.column("text"))):
         starts, ends, rows = T.words(data, offsets)
-        rows, hashes, _ = T.unique_per_row(T.hash_spans(data, starts, ends), rows)
+        rows, hashes = T.distinct_words(T.hash_spans(data, starts, ends), rows)
         np.add(totals[: len(totals) - 1], np.bincount(_slot(hashes), minlength=SLOTS), out=totals[: len(totals) - 1])
-        totals[-1] += len(np.unique(rows))
+        totals[-1] += T.filled_rows(rows)
 
 
 def word_frequencies(docs: DataFrame) -> np.ndarray:
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             column = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, last, data, offsets in T.text_blocks(T.lowered(batch.column("text"))):
                 starts, ends, rows = T.words(data, offsets)
-                rows, hashes, _ = T.unique_per_row(T.hash_spans(data, starts, ends), rows)
+                rows, hashes = T.distinct_words(T.hash_spans(data, starts, ends), rows)
                 w = table[_slot(hashes)].astype(np.float64) + 1e-9
                 at = np.searchsorted(rows, np.arange(last - first + 1))
                 for i in np.flatnonzero(np.diff(at)):

@@ -146,7 +146,7 @@ def matches(hashes: np.ndarray, rows: np.ndarray, n_rows: int, test: TestSet) ->
     place = np.arange(len(hashes)) + rows
     tokens[place] = hashes
     order = suffix_array(tokens[: len(hashes) + n_rows], width)
-    words = np.unique(hashes)
+    words = T.distinct(hashes)
     head = test.tokens[test.start]
     found = np.minimum(np.searchsorted(words, head), len(words) - 1)
     out = []

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Keeps the first 0..8 bytes of a little-endian word.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def text_blocks(column, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -104,23 +104,6 @@ def spans(mask: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def _ensure(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, BLOCK_BYTES + 4096)
-        with np.errstate(over="ignore"):
-            base = np.full(size, _BASE, np.uint64)
-            base[0] = 1
-            _powers = np.multiply.accumulate(base)
-            base = np.full(size, _INVERSE, np.uint64)
-            base[0] = 1
-            _inverses = np.multiply.accumulate(base)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer, element by element."""
     with np.errstate(over="ignore"):
@@ -132,16 +115,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for every span; equal bytes have equal hashes."""
+    """A 64-bit hash of data[start:end] for every span; equal bytes have equal hashes.
+
+    Spans are read eight bytes at a time, through a view of the bytes at every offset.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    _ensure(len(data) + 1)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    windows = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    size = ends - starts
     with np.errstate(over="ignore"):
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=total[1:])
-        value = (total[ends] - total[starts]) * _inverses[starts]
-        return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        value = mix((windows[starts] & _TAIL[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_BASE))
+        going = np.flatnonzero(size > 8)
+        at = 8
+        while len(going):
+            part = windows[starts[going] + at] & _TAIL[np.minimum(size[going] - at, 8)]
+            value[going] = mix(value[going] * np.uint64(_BASE) + part)
+            at += 8
+            going = going[size[going] > at]
+    return value
 
 
 def hash_bytes(word: bytes) -> int:
@@ -183,3 +176,24 @@ def _row_sort(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     if top < 1 << 16:
         return first[np.argsort(low.astype(np.uint16), kind="stable")]
     return first[np.argsort(low, kind="stable")]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def filled_rows(rows: np.ndarray) -> int:
+    """How many different rows a sorted array of rows has."""
+    return int(1 + (rows[1:] != rows[:-1]).sum()) if len(rows) else 0
+
+
+def distinct_words(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, first 48 bits of the hash), sorted; the other bits of the hashes are 0."""
+    low = np.uint64(0xFFFF)
+    if len(rows) and int(rows[-1]) > 0xFFFF:
+        rows, hashes, _ = unique_per_row(hashes & ~low, rows)
+        return rows, hashes
+    both = distinct((rows.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
+    return (both >> np.uint64(48)).astype(np.int64), both << np.uint64(16)
