@@ -10,9 +10,9 @@ positional filter bounds the overlap, and parity sketches (64 bits; 512 for pair
 of over 120 words) bound the symmetric difference from below; none of them drops a pair that would pass.
 Pairs that are left are verified on the words themselves.
 
-A line needs one earlier match only, so of each word's postings its ``KEEP`` closest candidates
-are verified first. Lines that match none of them though they have more are searched again with
-all their candidates, so the result is that of the full join. Lines with the same words are
+Of each word's postings the lines that have a pair left are sent, with their words, to one group,
+where overlaps are counted exactly: a line travels once for each of its prefix words that has such a
+pair, however many pairs there are, and no pair is left out. Lines with the same words are
 folded to their first occurrence before they are paired, so hot lines cost no pairs.
 """
 
@@ -27,16 +27,16 @@ from . import packing as P
 from . import textblock as T
 
 NUM, DEN = 9, 10
-KEEP = 3
 SLOTS = 1 << 21
 FILTER_SLOTS = 1 << 24
+_ROWS = 512
 SHORT_TO = 120
 _LONG = 512
 _CHUNK = 1 << 20
 _BASE = [("token", "<u4"), ("size", "<u4"), ("pos", "<u2"), ("lead", "?"), ("set", "<u8"), ("doc", "<i8"), ("line", "<i4")]
 _SHORT_RECORD = np.dtype([*_BASE, ("parity", "<u8", (1,))])
 _LONG_RECORD = np.dtype([*_BASE, ("parity", "<u8", (_LONG // 64,))])
-_PAIR = "yd long, yl int, xd long, xl int, gap int, more int"
+_MEMBER = "part long, doc long, line int"
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -63,7 +63,7 @@ def _line_words(column):
 
 def _count(batch: pa.RecordBatch, totals: np.ndarray) -> None:
     for _, _, _, hashes, line in _line_words(batch.column("text")):
-        hashes = T.unique_per_row(hashes, line)[1]
+        hashes = T.distinct_words(hashes, line)[1]
         totals += np.bincount(_slot(hashes), minlength=SLOTS)
 
 
@@ -130,7 +130,7 @@ def _folded(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _survivors(r: np.ndarray, num: int, den: int):
-    """Chunks of (later, earlier, gap, word) record numbers that pass all filters; r sorted by word and size."""
+    """Chunks of pairs of record numbers that pass all filters; r is sorted by word and size."""
     n = len(r)
     size, pos = r["size"].astype(np.int64), r["pos"].astype(np.int64)
     key = (r["token"].astype(np.uint64) << np.uint64(32)) | r["size"].astype(np.uint64)
@@ -138,6 +138,7 @@ def _survivors(r: np.ndarray, num: int, den: int):
     start = np.searchsorted(key, least)
     count = np.arange(n) - start
     done = np.cumsum(count)
+    parity = np.ascontiguousarray(r["parity"])
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + _CHUNK, "right")))
@@ -148,42 +149,46 @@ def _survivors(r: np.ndarray, num: int, den: int):
         need = (num * both + num + den - 1) // (num + den)
         ok = 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need
         i, j, slack = i[ok], j[ok], (both - 2 * need)[ok]
-        gap = np.bitwise_count(r["parity"][i] ^ r["parity"][j]).sum(1).astype(np.int64)
-        ok = gap <= slack
-        i, j, gap = i[ok], j[ok], gap[ok]
-        order = (r["doc"][i] > r["doc"][j]) | ((r["doc"][i] == r["doc"][j]) & (r["line"][i] > r["line"][j]))
+        ok = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64) <= slack
+        i, j = i[ok], j[ok]
         differ = (r["doc"][i] != r["doc"][j]) | (r["line"][i] != r["line"][j])
-        yield np.where(order, i, j)[differ], np.where(order, j, i)[differ], gap[differ]
+        yield i[differ], j[differ]
         at = to
 
 
-def _candidates(r: np.ndarray, num: int, den: int, only: np.ndarray | None):
-    """Rows of _PAIR: the closest candidates of each later line under each word, or all of those in ``only``."""
+def _members(r: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The postings that are in a pair that passes all filters."""
     r = r[np.argsort((r["token"].astype(np.uint64) << np.uint64(32)) | r["size"].astype(np.uint64), kind="stable")]
-    held = [np.zeros((0, 4), np.int64)]
-    for later, earlier, gap in _survivors(r, num, den):
-        if only is not None:
-            wanted = np.isin(_line_key(r["doc"][later], r["line"][later]), only)
-            later, earlier, gap = later[wanted], earlier[wanted], gap[wanted]
-        if len(later):
-            held.append(_closest(np.stack([later, earlier, gap, np.zeros(len(gap), np.int64)], 1), only is not None))
-    rows = _closest(np.concatenate(held), only is not None)
-    y, x = r[rows[:, 0]], r[rows[:, 1]]
-    return y["doc"], y["line"], x["doc"], x["line"], rows[:, 2].astype(np.int32), rows[:, 3].astype(np.int32)
-
-
-def _closest(rows: np.ndarray, everything: bool) -> np.ndarray:
-    """The KEEP least gaps of each later line; the last column counts what was left out."""
-    if everything or not len(rows):
-        return rows
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
-    new = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-    count = np.diff(np.append(new, len(rows)))
-    nth = np.arange(len(rows)) - np.repeat(new, count)
-    out = rows[nth < KEEP]
-    left = np.maximum(count - KEEP, 0) + np.maximum.reduceat(rows[:, 3], new)
-    out[:, 3] = np.repeat(left, np.minimum(count, KEEP))
-    return out
+    paired = np.zeros(len(r), bool)
+    for later, earlier in _survivors(r, num, den):
+        paired[later] = True
+        paired[earlier] = True
+    return r[paired]
+
+
+def _matched(sizes: np.ndarray, words: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of sets in order of place, given by their sizes and joined words: those that an earlier one matches."""
+    n = len(sizes)
+    begin = np.append(0, np.cumsum(sizes))
+    hit = np.zeros(n, bool)
+    for a in range(0, n, _ROWS):
+        for b in range(0, a + 1, _ROWS):
+            x, y = slice(begin[b], begin[min(b + _ROWS, n)]), slice(begin[a], begin[min(a + _ROWS, n)])
+            rows_x = np.repeat(np.arange(len(sizes[b : b + _ROWS])), sizes[b : b + _ROWS])
+            rows_y = np.repeat(np.arange(len(sizes[a : a + _ROWS])), sizes[a : a + _ROWS])
+            both, number = np.unique(np.concatenate([words[x], words[y]]), return_inverse=True)
+            shared = np.zeros((rows_y.max() + 1, rows_x.max() + 1), np.float32)
+            for low in range(0, len(both), 8192):
+                mx, my = (np.zeros((rows.max() + 1, min(8192, len(both) - low)), np.float32) for rows in (rows_x, rows_y))
+                for m, rows, part in ((mx, rows_x, number[: len(rows_x)]), (my, rows_y, number[len(rows_x) :])):
+                    here = (part >= low) & (part < low + 8192)
+                    m[rows[here], part[here] - low] = 1
+                shared += my @ mx.T
+            enough = shared * (num + den) >= num * (sizes[a : a + _ROWS, None] + sizes[None, b : b + _ROWS])
+            if a == b:
+                enough &= np.tri(len(enough), k=-1, dtype=bool)
+            hit[a : a + _ROWS] |= enough.any(1)
+    return hit
 
 
 ORACLE_SQL = r"""
@@ -242,8 +247,8 @@ class _Join:
 
         return P.exchanged(self.docs.mapInArrow(post, P.BLOCK_SCHEMA), 2 * width)
 
-    def pairs(self, only=None) -> DataFrame:
-        """Candidate pairs, and (xd null) lines that have the same words as an earlier one."""
+    def members(self) -> DataFrame:
+        """(part, doc, line) of lines that have a pair left in a word's postings; part null: the same words as an earlier line."""
         width, num, den = self.width, self.num, self.den
 
         def search(batches):
@@ -252,43 +257,53 @@ class _Join:
             records = P.unpacked(iter(batches), _LONG_RECORD if dest >= width else _SHORT_RECORD)
             firsts, copies = _folded(records)
             del records
-            columns = _candidates(firsts, num, den, None if only is None else only.value)
-            arrays = [pa.array(c.astype(t)) for c, t in zip(columns, ("<i8", "<i4", "<i8", "<i4", "<i4", "<i4"))]
-            names = ["yd", "yl", "xd", "xl", "gap", "more"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-            if only is None and len(copies):
-                n, none = len(copies), pa.nulls
-                yield pa.RecordBatch.from_arrays([pa.array(copies[:, 0]), pa.array(copies[:, 1].astype("<i4")), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.int32())], names)
+            r = _members(firsts, num, den)
+            part = r["token"].astype(np.int64) * 2 + (dest >= width)
+            names = ["part", "doc", "line"]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(r["doc"]), pa.array(r["line"])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(copies), pa.int64()), pa.array(copies[:, 0]), pa.array(copies[:, 1].astype(np.int32))], names)
 
-        return self.blocks().mapInArrow(search, _PAIR)
+        return self.blocks().mapInArrow(search, _MEMBER)
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """(yd, yl) of the pairs whose Jaccard similarity reaches the threshold on their words."""
-        marks = P.Shared(self.spark, _marks(pairs))
+    def verified(self, members: DataFrame) -> DataFrame:
+        """(doc, line) of the members that an earlier member of their group matches, counted on their words."""
+        marks = P.Shared(self.spark, _marks(members))
+        num, den = self.num, self.den
 
         def lines(batches):
             for batch in batches:
+                batch = batch.filter(pa.array(_marked(marks.value, _line_key(batch.column("doc_id").to_numpy(zero_copy_only=False), np.zeros(len(batch))))))
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 for first, line_rows, numbers, hashes, line in _line_words(batch.column("text")):
                     doc = ids[first + line_rows]
-                    slot = _line_key(doc, numbers) >> np.uint64(64 - 24)
-                    wanted = np.flatnonzero((marks.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
-                    low = np.searchsorted(line, wanted)
-                    high = np.searchsorted(line, wanted, "right")
-                    sets = [np.unique(hashes[a:b]) for a, b in zip(low, high)]
-                    offsets = np.cumsum([0, *map(len, sets)])
-                    values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                    words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+                    wanted = _marked(marks.value, _line_key(doc, numbers + 1))
+                    keep = wanted[line] if len(line) else np.zeros(0, bool)
+                    owner, value, _ = T.unique_per_row(hashes[keep], line[keep])
+                    wanted = np.flatnonzero(wanted)
+                    words = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.append(wanted, len(line_rows))), pa.int32()), pa.array(value.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(doc[wanted].astype(np.int64)), pa.array(numbers[wanted].astype(np.int32)), words], ["doc", "line", "words"])
 
-        sets = self.docs.mapInArrow(lines, "doc long, line int, words array<long>")
-        ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("yd").alias("doc"), F.col("yl").alias("line")), F.struct(F.lit(1).alias("side"), F.col("xd").alias("doc"), F.col("xl").alias("line"))))
-        asked = pairs.select("yd", "yl", "xd", "xl", ends.alias("e")).select("yd", "yl", "xd", "xl", "e.*")
-        held = asked.join(sets, ["doc", "line"])
-        side = lambda k: F.max(F.when(F.col("side") == k, F.col("words")))
-        both = held.groupBy("yd", "yl", "xd", "xl").agg(side(0).alias("y"), side(1).alias("x"))
-        shared = F.size(F.array_intersect("y", "x"))
-        return both.filter(shared * (self.num + self.den) >= (F.size("y") + F.size("x")) * self.num).select("yd", "yl").distinct()
+        def compare(batches):
+            table = pa.Table.from_batches(batches).combine_chunks()
+            part, doc, line = (table.column(c).to_numpy() for c in ("part", "doc", "line"))
+            order = np.lexsort((line, doc, part))
+            found = []
+            if len(order):
+                words = table.column("words").chunk(0)
+                offsets = words.offsets.to_numpy().astype(np.int64)
+                flat = words.values.to_numpy()
+                sizes = np.diff(offsets)
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]]))
+                for a, b in zip(cut[:-1], cut[1:]):
+                    rows = order[a:b]
+                    group = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in rows])
+                    found.append(rows[_matched(sizes[rows], group, num, den)])
+            rows = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[rows].astype(np.int64)), pa.array(line[rows].astype(np.int32))], ["doc", "line"])
+
+        sets = self.docs.mapInArrow(lines, "doc long, line int, words array<long>").dropDuplicates(["doc", "line"])
+        held = members.join(sets, ["doc", "line"]).repartition(self.width, "part")
+        return held.mapInArrow(compare, "doc long, line int").distinct()
 
 
 def _shifted(batch: pa.RecordBatch, by: int) -> pa.RecordBatch:
@@ -296,14 +311,23 @@ def _shifted(batch: pa.RecordBatch, by: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([dest, batch.column("payload")], ["dest", "payload"])
 
 
-def _marks(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over hashed line keys of the pairs; a false positive costs a line sent in vain."""
+def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys >> np.uint64(64 - 24)
+    return ((marks[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _marks(members: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over hashed keys of the members and their documents.
+
+    A false positive costs a line that is sent in vain.
+    """
 
     def collect(batches):
         used = np.zeros(FILTER_SLOTS // 8, np.uint8)
         for batch in batches:
-            for doc, line in (("yd", "yl"), ("xd", "xl")):
-                slot = _line_key(batch.column(doc).to_numpy(), batch.column(line).to_numpy()) >> np.uint64(64 - 24)
+            doc, line = batch.column("doc").to_numpy(), batch.column("line").to_numpy()
+            for place in (line.astype(np.int64) + 1, np.zeros(len(line))):
+                slot = _line_key(doc, place) >> np.uint64(64 - 24)
                 np.bitwise_or.at(used, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
         at = np.flatnonzero(used)
         record = np.empty(len(at), np.dtype([("at", "<u4"), ("bits", "u1")]))
@@ -318,11 +342,11 @@ def _marks(pairs: DataFrame) -> np.ndarray:
         np.bitwise_or.at(used, record["at"].astype(np.int64), record["bits"])
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([used.tobytes()], pa.binary())], ["dest", "payload"])
 
-    rows = P.exchanged(pairs.mapInArrow(collect, P.BLOCK_SCHEMA), 1).mapInArrow(merge, P.BLOCK_SCHEMA).collect()
+    rows = P.exchanged(members.select("doc", "line").mapInArrow(collect, P.BLOCK_SCHEMA), 1).mapInArrow(merge, P.BLOCK_SCHEMA).collect()
     return np.frombuffer(rows[0]["payload"], np.uint8)
 
 
-def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN, slice_of: int = 1_000_000) -> DataFrame:
+def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc, line) of every line to remove, numbered from 0 in its text.
 
     Lines without a word are never removed. Rows without a doc_id take no part; rows that share a
@@ -330,30 +354,9 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN, slice_of: in
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     join = _Join(narrow, num, den)
-    found = P.checkpointed(join.pairs())
-    copies = found.filter("xd is null").select("yd", "yl")
-    near = found.filter("xd is not null").join(copies, ["yd", "yl"], "left_anti")
-    best = P.checkpointed(near.groupBy("yd", "yl").agg(F.min(F.struct("gap", "xd", "xl")).alias("b"), F.sum("more").alias("more"), F.count("*").alias("n")))
-    matched = P.checkpointed(join.verified(best.select("yd", "yl", "b.xd", "b.xl")))
-    open_lines = best.join(matched, ["yd", "yl"], "left_anti")
-    second = near.join(open_lines.filter("n > 1").select("yd", "yl"), ["yd", "yl"], "left_semi").select("yd", "yl", "xd", "xl").distinct()
-    second = P.checkpointed(second.join(best.select("yd", "yl", "b.xd", "b.xl"), ["yd", "yl", "xd", "xl"], "left_anti"))
-    removed = [copies, matched]
-    if not second.isEmpty():
-        again = P.checkpointed(join.verified(second))
-        removed.append(again)
-        open_lines = open_lines.join(again, ["yd", "yl"], "left_anti")
-    rest = P.checkpointed(open_lines.filter("more > 0").select("yd", "yl"))
-    n = rest.count()
-    for k in range(-(-n // slice_of)):
-        rows = rest.filter(F.pmod(F.xxhash64("yd", "yl"), F.lit(-(-n // slice_of))) == k).toPandas()
-        only = P.Shared(join.spark, np.sort(_line_key(rows["yd"].to_numpy(), rows["yl"].to_numpy())))
-        pairs = P.checkpointed(join.pairs(only).select("yd", "yl", "xd", "xl").distinct())
-        removed.append(join.verified(pairs))
-    result = removed[0]
-    for more in removed[1:]:
-        result = result.union(more)
-    return result.select(F.col("yd").alias("doc"), F.col("yl").alias("line")).distinct()
+    found = P.checkpointed(join.members())
+    copies = found.filter("part is null").select("doc", "line")
+    return copies.union(join.verified(found.filter("part is not null"))).distinct()
 
 
 def deduplicated(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
