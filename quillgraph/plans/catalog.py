@@ -1,15 +1,556 @@
-"""The named queries over the note operators, and their SQL."""
+"""The named queries over the note operators, each over whole tables, and their SQL for DuckDB.
+
+The SQL restates what a query means from the notes view's own columns, not by the engine's steps.
+"""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+import time
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import notes as N
+from ..functions import text as X
+from ..operators import cluster, discards, graph, index, scope, search
+from ..sources.tables import table
+from ..streaming import changes as stream
+from .notes_view import NOTES_SQL
+
+QUERY = "therbleth thonhanor oninwhwh the"
+ROUND = 6
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def view(spark: SparkSession, folder: str) -> DataFrame:
+    """The notes view."""
+    return spark.sql(NOTES_SQL, documents=table(spark, folder, "documents"))
+
+
+def parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """The notes view's files read back by the parser, with the view's ids."""
+    files = view(spark, folder)
+    return N.parsed(files.select("path", "raw")).join(files.select("id", "path"), "path")
+
+
+def linked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, notes): links of the bodies, resolved."""
+    notes = view(spark, folder).select("id", "path", "slug", X.links_of(F.col("body")).alias("links"))
+    return graph.resolved(graph.edges_of(notes), notes), notes
+
+
+_VIEW = "WITH notes AS (" + NOTES_SQL.format(documents="documents") + ")"
+_LINKS = (
+    _VIEW
+    + """, links AS (
+  SELECT id AS from_id, next_stem AS to_slug FROM notes WHERE next_stem IS NOT NULL
+  UNION SELECT id, next2_target FROM notes WHERE next2_target IS NOT NULL
+  UNION SELECT id, 'doc-' || CAST(id - id % 10 AS VARCHAR) FROM notes WHERE id % 5 = 0
+  UNION SELECT id, 'ghost-' || CAST(id AS VARCHAR) FROM notes WHERE id % 9 = 0
+), edges AS (
+  SELECT from_id, to_slug, coalesce((SELECT min(n.id) FROM notes n WHERE n.path = to_slug || '.md'),
+         (SELECT min(n.id) FROM notes n WHERE n.slug = to_slug HAVING count(*) = 1)) AS to_id FROM links
+)"""
+)
+
+
+@_query("SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path, regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '\\.md$') AND NOT regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '(^|/)\\.') AS is_note FROM pages UNION ALL SELECT page_id, '.trash/' || page_id || '.md', false FROM pages UNION ALL SELECT page_id, 'a/' || page_id || '.md', true FROM pages")
+def note_path_filter(spark, folder):
+    pages = table(spark, folder, "pages")
+    paths = F.array(F.regexp_replace("url", "^[a-z]+://", ""), F.concat(F.lit(".trash/"), "page_id", F.lit(".md")), F.concat(F.lit("a/"), "page_id", F.lit(".md")))
+    return pages.select("page_id", F.explode(paths).alias("path")).withColumn("is_note", X.is_note_path(F.col("path")))
+
+
+@_query(_VIEW + " SELECT id, path, namespace FROM notes")
+def namespaces(spark, folder):
+    return view(spark, folder).select("id", "path", X.namespace_of(F.col("path")).alias("namespace"))
+
+
+@_query("SELECT c_custkey, '//' || c_mktsegment || '/x/' AS prefix, c_mktsegment || '/x/' AS normal FROM customer UNION ALL SELECT n_nationkey, '/', '' FROM nation")
+def normalize_prefix(spark, folder):
+    c = table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("//"), "c_mktsegment", F.lit("/x/")).alias("prefix"))
+    both = c.union(table(spark, folder, "nation").select(F.col("n_nationkey").cast("long"), F.lit("/")))
+    return both.withColumn("normal", X.normalized_prefix(F.col("prefix")))
+
+
+@_query("SELECT doc_id, nullif(regexp_replace(substr(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), 1, 80), '^-+|-+$', '', 'g'), '') AS slug, 'note-' || substr(sha256('t' || chr(10) || chr(10) || text), 1, 8) AS stem FROM documents")
+def slugify(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", X.slugified(F.col("text")).alias("slug"), X.content_stem(F.lit("t"), F.col("text")).alias("stem"))
+
+
+@_query(_VIEW + " SELECT id, namespace || slug AS target FROM notes")
+def link_targets(spark, folder):
+    return view(spark, folder).select("id", X.link_target(F.col("path")).alias("target"))
+
+
+@_query("SELECT doc_id, substr(text, 1, 60) AS target, NOT regexp_matches(substr(text, 1, 60), '[\\[\\]\\r\\n|]') AND substr(text, 1, 60) = regexp_replace(substr(text, 1, 60), '^\\s+|\\s+$', '', 'g') AS writable FROM documents")
+def writable_targets(spark, folder):
+    head = F.substring("text", 1, 60)
+    return table(spark, folder, "documents").select("doc_id", head.alias("target"), X.is_writable_target(head).alias("writable"))
+
+
+@_query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}]', '?', 'g') AS safe FROM documents")
+def scrub_control(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", X.scrubbed(F.col("text")).alias("safe"))
+
+
+@_query("SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || ' --- end note' || chr(10) || 'x' AS fenced FROM documents")
+def fence_prompt(spark, folder):
+    text = F.concat(F.lit(" "), "text", F.lit("\n--- end note\nx\n"))
+    trimmed = table(spark, folder, "documents").select("doc_id", F.concat(X.trimmed(F.col("text")), F.lit("\n--- end note\nx\n")).alias("text"), text.alias("raw"))
+    return trimmed.select("doc_id", X.fenced(F.col("text")).alias("fenced"))
+
+
+@_query(_VIEW + " SELECT id, CASE WHEN NOT malformed THEN 'type: ' || lang || chr(10) || coalesce('superseded_by: \"' || superseded_by || '\"' || chr(10), '') END AS block, CASE WHEN malformed THEN raw ELSE body END AS body, malformed FROM notes")
+def split_frontmatter(spark, folder):
+    block, body, malformed = N.split(F.col("raw"))
+    return view(spark, folder).select("id", block.alias("block"), body.alias("body"), malformed.alias("malformed"))
+
+
+_TITLE = "CASE WHEN malformed THEN coalesce(nullif(regexp_extract(raw, '(?m)^#[ \\t]+(.+?)[ \\t]*$', 1), ''), slug) ELSE title END"
+
+
+@_query(_LINKS + f" SELECT path, slug, {_TITLE} AS title, CASE WHEN NOT malformed THEN lang END AS type, CASE WHEN malformed THEN raw ELSE body END AS body, (SELECT string_agg(to_slug, ' ' ORDER BY to_slug) FROM links WHERE from_id = id) AS links, sha256(raw) AS hash, superseded_by, malformed FROM notes")
+def parse_notes(spark, folder):
+    notes = N.parsed(view(spark, folder).select("path", "raw"))
+    links = F.nullif(F.array_join(F.array_sort("links"), " "), F.lit(""))
+    return notes.select("path", "slug", "title", "type", "body", links.alias("links"), "hash", "superseded_by", "malformed")
+
+
+@_query(_VIEW + " SELECT path, CASE WHEN NOT malformed THEN lang END AS type, superseded_by AS successor FROM notes")
+def frontmatter_fields(spark, folder):
+    value = F.parse_json("frontmatter")
+    return N.parsed(view(spark, folder).select("path", "raw")).select("path", F.try_variant_get(value, "$.type", "string").alias("type"), F.try_variant_get(value, "$.superseded_by", "string").alias("successor"))
+
+
+@_query(_LINKS + " SELECT from_id AS id, to_slug AS target FROM links")
+def extract_links(spark, folder):
+    return view(spark, folder).select("id", F.explode(X.links_of(F.col("body"))).alias("target"))
+
+
+@_query(_VIEW + f" SELECT id, {_TITLE} AS title FROM notes")
+def note_title(spark, folder):
+    return parsed(spark, folder).select("id", "title")
+
+
+@_query(_VIEW + " SELECT id, replace(body, '[[' || next_stem || ']]', '[[here/' || next_stem || ']]') AS body FROM notes WHERE next_stem IS NOT NULL")
+def qualify_links(spark, folder):
+    notes = view(spark, folder).filter("next_stem is not null")
+    return notes.select("id", X.qualified(F.col("body"), F.col("next_stem"), F.concat(F.lit("here/"), "next_stem")).alias("body"))
+
+
+@_query(_VIEW + " SELECT id, CASE WHEN malformed THEN 'new' ELSE substr(raw, 1, length(raw) - length(body)) || 'new' END AS raw FROM notes")
+def replace_body(spark, folder):
+    edit = N.replace_body
+    rows = view(spark, folder).select("id", "raw")
+    return rows.mapInPandas(lambda batches: (b.assign(raw=[edit(r, "new") for r in b["raw"]]) for b in batches), "id long, raw string")
+
+
+@_query(_VIEW + " SELECT id, CASE WHEN malformed THEN '---' || chr(10) || 'checked: \"yes\"' || chr(10) || '---' || chr(10) || raw ELSE substr(raw, 1, length(raw) - length(body) - 4) || 'checked: \"yes\"' || chr(10) || '---' || chr(10) || body END AS raw FROM notes")
+def patch_frontmatter(spark, folder):
+    edit = N.patch_frontmatter
+    rows = view(spark, folder).select("id", "raw")
+    return rows.mapInPandas(lambda batches: (b.assign(raw=[edit(r, "checked", "yes") for r in b["raw"]]) for b in batches), "id long, raw string")
+
+
+@_query(_VIEW + " SELECT id, true AS same FROM notes")
+def serialize_roundtrip(spark, folder):
+    parse, serialize = N.parse_note, N.serialize_note
+
+    def trip(batches):
+        for b in batches:
+            notes = [parse(r, p) for r, p in zip(b["raw"], b["path"])]
+            again = [parse(serialize(n.frontmatter, n.body), n.path) for n in notes]
+            b["same"] = [(n.frontmatter, n.body, n.links, n.title) == (a.frontmatter, a.body, a.links, a.title) for n, a in zip(notes, again)]
+            yield b[["id", "same"]]
+
+    return view(spark, folder).select("id", "path", "raw").mapInPandas(trip, "id long, same boolean")
+
+
+@_query(_VIEW + " SELECT id, path FROM notes WHERE superseded_by IS NULL")
+def live_notes(spark, folder):
+    return parsed(spark, folder).filter("superseded_by is null").select("id", "path")
+
+
+@_query(_LINKS + " SELECT from_id, to_slug, to_id FROM edges")
+def resolve_edges(spark, folder):
+    return linked(spark, folder)[0]
+
+
+@_query(_LINKS + " SELECT path, to_slug AS target FROM edges JOIN notes ON id = from_id WHERE to_id IS NULL")
+def unresolved_links(spark, folder):
+    return graph.unresolved(*linked(spark, folder))
+
+
+_SHARED = ", shared AS (SELECT slug, string_agg(namespace || slug, ',' ORDER BY namespace || slug) AS targets FROM notes GROUP BY slug HAVING count(*) > 1)"
+
+
+@_query(_LINKS + _SHARED + " SELECT path, to_slug AS target FROM edges JOIN notes ON id = from_id WHERE to_id IS NULL AND to_slug NOT IN (SELECT slug FROM shared)")
+def broken_links(spark, folder):
+    return graph.broken(*linked(spark, folder))
+
+
+@_query(_LINKS + _SHARED + " SELECT n.path, to_slug AS target, targets AS candidates FROM edges JOIN notes n ON n.id = from_id JOIN shared ON shared.slug = to_slug WHERE to_id IS NULL")
+def ambiguous_links(spark, folder):
+    return graph.ambiguous(*linked(spark, folder)).withColumn("candidates", F.array_join("candidates", ","))
+
+
+@_query(_VIEW + ", l AS (SELECT id, next_stem AS t FROM notes WHERE id % 3 = 0 AND next_stem IS NOT NULL), e AS (SELECT id AS f, (SELECT min(n.id) FROM notes n WHERE n.slug = t HAVING count(*) = 1) AS to_id FROM l) SELECT path FROM notes n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.f = n.id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.to_id = n.id)")
+def orphans(spark, folder):
+    notes = view(spark, folder).select("id", "path", "slug", F.when((F.col("id") % 3 == 0) & F.col("next_stem").isNotNull(), F.array("next_stem")).otherwise(F.array()).alias("links"))
+    return graph.orphans(graph.resolved(graph.edges_of(notes), notes), notes)
+
+
+@_query(_VIEW + _SHARED + " SELECT slug, targets FROM shared")
+def shared_stems(spark, folder):
+    return graph.shared_stems(view(spark, folder)).withColumn("targets", F.array_join("targets", ","))
+
+
+@_query(_LINKS + " SELECT DISTINCT to_slug AS stem, path FROM links JOIN notes ON id = from_id WHERE to_slug IN (SELECT slug FROM notes)")
+def backlinkers(spark, folder):
+    edges, notes = linked(spark, folder)
+    return graph.backlinkers(edges, notes, notes.select(F.col("slug").alias("stem")).distinct())
+
+
+@_query(_VIEW + ", k AS (SELECT slug, min(namespace || slug) AS target FROM notes WHERE id % 10 <> 1 GROUP BY slug HAVING count(*) = 1) SELECT n.slug, n.path, k.target FROM notes n JOIN k ON n.slug = k.slug WHERE n.id % 10 = 1")
+def stem_collisions(spark, folder):
+    notes = view(spark, folder)
+    return graph.collisions(notes.filter("id % 10 <> 1"), notes.filter("id % 10 = 1"))
+
+
+def _two(spark, folder):
+    """(files, index) that differ: every 17th edited, every 19th deleted, every 23rd new."""
+    notes = view(spark, folder).select("id", "path", "raw")
+    files = notes.filter("id % 19 <> 5").select("path", F.sha2(F.when(F.col("id") % 17 == 3, F.concat("raw", F.lit("edited"))).otherwise(F.col("raw")), 256).alias("hash"))
+    return files, notes.filter("id % 23 <> 11").select("path", F.sha2("raw", 256).alias("hash"))
+
+
+_STATUS = _VIEW + ", d AS (SELECT path, CASE WHEN id % 23 = 11 THEN 'new' WHEN id % 19 = 5 THEN 'gone' WHEN id % 17 = 3 THEN 'updated' ELSE 'unchanged' END AS status FROM notes WHERE NOT (id % 23 = 11 AND id % 19 = 5))"
+
+
+@_query(_STATUS + " SELECT path, status FROM d")
+def hash_diff(spark, folder):
+    return index.difference(*_two(spark, folder))
+
+
+@_query(_STATUS + " SELECT path, CASE status WHEN 'gone' THEN 'missing' ELSE 'stale' END AS kind FROM d WHERE status <> 'unchanged'")
+def drift(spark, folder):
+    return index.drift(*_two(spark, folder))
+
+
+@_query(_STATUS + " SELECT status, count(*) AS n FROM d GROUP BY status")
+def index_stats(spark, folder):
+    return index.statistics(index.difference(*_two(spark, folder)))
+
+
+@_query(_VIEW + " SELECT path, CASE WHEN id % 17 = 3 THEN sha256(raw || 'edited') ELSE sha256(raw) END AS hash FROM notes WHERE id % 23 <> 11 OR id % 17 = 3")
+def upsert_notes(spark, folder):
+    notes = view(spark, folder)
+    edited = notes.filter("id % 17 = 3").select("path", F.sha2(F.concat("raw", F.lit("edited")), 256).alias("hash"))
+    return index.upserted(_two(spark, folder)[1], edited)
+
+
+@_query(_VIEW + " SELECT path, sha256(raw) AS hash FROM notes WHERE id % 23 <> 11 AND id % 19 <> 5")
+def purge_deleted(spark, folder):
+    files, indexed = _two(spark, folder)
+    return index.purged(indexed, index.difference(files, indexed).filter("status = 'gone'"))
+
+
+@_query("SELECT doc_id, list_aggregate(list_filter(string_split_regex(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')), 'count') AS pieces, doc_id % 1 = 0 AS has_terms FROM documents")
+def fts_terms(spark, folder):
+    pieces = F.filter(F.split("text", f"{X.BLANK}+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    return table(spark, folder, "documents").select("doc_id", F.size(pieces).cast("long").alias("pieces"), X.match_expression(F.col("text")).isNotNull().alias("has_terms"))
+
+
+_TERMS = QUERY.split()
+_WORDS = f"""{_VIEW}, w AS (
+  SELECT id, unnest(regexp_extract_all(strip_accents(lower(title || ' ' || text)), '[\\p{{L}}\\p{{N}}]+')) AS word FROM notes
+), l AS (SELECT id, count(*) AS len FROM w GROUP BY id), t AS (SELECT count(*) AS n, avg(len) AS avgdl FROM l),
+f AS (SELECT id, word, count(*) AS tf FROM w WHERE word IN ({", ".join(map(repr, _TERMS))}) GROUP BY id, word),
+d AS (SELECT word, count(*) AS df FROM f GROUP BY word),
+i AS (SELECT word, df, n, avgdl, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM d, t),
+s AS (SELECT f.id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM f JOIN i ON f.word = i.word JOIN l ON f.id = l.id GROUP BY f.id)"""
+
+
+def searchable(spark, folder) -> DataFrame:
+    """Notes for retrieval: title and text, without the made links."""
+    return view(spark, folder).select("id", "path", "namespace", "title", F.col("text").alias("body"), "superseded_by", "slug")
+
+
+@_query(_WORDS + f" SELECT word AS term, df, n, round(avgdl, {ROUND}) AS avgdl, round(idf, {ROUND}) AS idf FROM i")
+def bm25_stats(spark, folder):
+    return search.bm25_stats(searchable(spark, folder), _TERMS).withColumns({"avgdl": F.round("avgdl", ROUND), "idf": F.round("idf", ROUND)})
+
+
+@_query(_WORDS + f" SELECT id, round(score, {ROUND}) AS score FROM s ORDER BY round(score, {ROUND}), id LIMIT 30")
+def bm25_topk(spark, folder):
+    return search.bm25(searchable(spark, folder), QUERY).withColumn("score", F.round("score", ROUND)).orderBy("score", "id").limit(30)
+
+
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({w}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+_VECTORS = f"""{_VIEW}, tok AS (
+  SELECT id, unnest(regexp_extract_all(lower(title || chr(10) || chr(10) || text), '[a-z0-9]+')) AS word FROM notes
+), wb AS (SELECT word, {_FNV.format(w="word")} % 256 AS bucket FROM (SELECT DISTINCT word FROM tok)),
+bag AS (SELECT id, bucket, CAST(count(*) AS DOUBLE) AS c FROM tok JOIN wb USING (word) GROUP BY id, bucket),
+norm AS (SELECT id, sqrt(sum(c * c)) AS len FROM bag GROUP BY id)"""
+
+
+def vectors(spark, folder) -> DataFrame:
+    return search.token_vectors(view(spark, folder).select("id", F.concat("title", F.lit("\n\n"), "text").alias("text")))
+
+
+@_query(_VECTORS + f" SELECT id, CAST(bucket AS INTEGER) AS bucket, round(c / len, {ROUND}) AS weight FROM bag JOIN norm USING (id)")
+def token_vectors(spark, folder):
+    return vectors(spark, folder).select("id", F.posexplode("emb").alias("bucket", "weight")).filter("weight <> 0").withColumn("weight", F.round("weight", ROUND))
+
+
+@_query(f"SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), {ROUND}) AS length, 1.0::DOUBLE AS unit_length FROM embeddings")
+def l2_normalize(spark, folder):
+    def normalize(batches):
+        import numpy as np
+
+        for b in batches:
+            m = np.array(b["emb"].tolist(), float)
+            yield b[["id"]].assign(length=np.sqrt((m * m).sum(1)), unit_length=np.sqrt((search.unit(m) ** 2).sum(1)).round(ROUND))
+
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
+    return rows.mapInPandas(normalize, "id long, length double, unit_length double").withColumn("length", F.round("length", ROUND))
+
+
+@_query("SELECT doc_id AS id, NOT regexp_matches(lower(text), '[a-z0-9]') AS zero FROM documents")
+def zero_vectors(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = search.token_vectors(docs).select("id", F.lit(False).alias("some"))
+    return docs.select("id").join(found, "id", "left").select("id", F.coalesce("some", F.lit(True)).alias("zero"))
+
+
+@_query("SELECT 'token-overlap-256' AS model, false AS stale UNION ALL SELECT 'other', true")
+def vectors_stale(spark, folder):
+    meta = table(spark, folder, "documents").select(F.lit("token-overlap-256").alias("model"), F.lit(256).alias("dims"))
+    return spark.createDataFrame([(m, index.vectors_stale(meta, m, 256)) for m in ("token-overlap-256", "other")], "model string, stale boolean")
+
+
+@_query(f"WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), d AS (SELECT vec_id AS id, round(1 - list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE))), {ROUND}) + 0.0 AS distance FROM embeddings, q) SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank FROM d ORDER BY distance, id LIMIT 30")
+def knn_topk(spark, folder):
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
+    query = rows.orderBy("id").first()["emb"]
+    best = search.cosine_distance(rows, query).withColumn("distance", F.round("distance", ROUND) + F.lit(0.0)).orderBy("distance", "id").limit(30)
+    return scope.newest_first(best.select("id", "distance", (-F.col("distance")).alias("d"), (-F.col("id")).alias("i")), "d", "i").select("id", "distance", F.col("n").cast("long").alias("rank"))
+
+
+def _query_vector() -> list[float]:
+    return search.LexicalEmbedder().embed([QUERY])[0]
+
+
+def _hybrid_sql(distance=None, bm25=None, allowed="true") -> str:
+    return f"""{_VECTORS}{_WORDS.removeprefix(_VIEW)}, qb AS (
+  SELECT {_FNV.format(w="word")} % 256 AS bucket, CAST(count(*) AS DOUBLE) AS c FROM (SELECT unnest(regexp_extract_all(lower('{QUERY}'), '[a-z0-9]+')) AS word) GROUP BY 1
+), dist AS (
+  SELECT norm.id, 1 - coalesce(sum(bag.c * qb.c), 0) / any_value(len) / (SELECT sqrt(sum(c * c)) FROM qb) AS distance
+  FROM norm LEFT JOIN (bag JOIN qb ON bag.bucket = qb.bucket) ON bag.id = norm.id GROUP BY norm.id
+), v0 AS (SELECT id, distance FROM dist ORDER BY round(distance, 9), id LIMIT 30),
+v AS (SELECT v0.id, row_number() OVER (ORDER BY round(distance, 9), v0.id) AS r FROM v0 JOIN notes USING (id) WHERE superseded_by IS NULL AND {"true" if distance is None else f"distance <= {distance}"} AND {allowed}),
+b0 AS (SELECT id, score FROM s ORDER BY round(score, 9), id LIMIT 30),
+b AS (SELECT b0.id, row_number() OVER (ORDER BY round(score, 9), b0.id) AS r FROM b0 JOIN notes USING (id) WHERE superseded_by IS NULL AND {"true" if bm25 is None else f"score <= {bm25}"} AND {allowed}),
+h AS (
+  SELECT notes.id, path, round(coalesce(1.0 / (60 + v.r), 0) + coalesce(1.0 / (60 + b.r), 0), {ROUND}) AS score, v.r AS vec_rank, b.r AS fts_rank
+  FROM v FULL OUTER JOIN b ON v.id = b.id JOIN notes ON notes.id = coalesce(v.id, b.id) ORDER BY score DESC, path LIMIT 10
+)"""
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("id", "path", F.round("score", ROUND).alias("score"), F.col("vec_rank").cast("long").alias("vec_rank"), F.col("fts_rank").cast("long").alias("fts_rank"))
+
+
+def _hybrid(spark, folder, options=search.Options(), rules=None, edges=None) -> DataFrame:
+    allowed = None if rules is None else scope.readable(rules, F.col("path"))
+    return search.hybrid(searchable(spark, folder), vectors(spark, folder), QUERY, _query_vector(), options, allowed, edges)
+
+
+@_query(_hybrid_sql() + " SELECT id, path, score, vec_rank, fts_rank FROM h")
+def hybrid_rrf(spark, folder):
+    return _hits(_hybrid(spark, folder))
+
+
+@_query(_hybrid_sql(distance=0.55, bm25=-2) + " SELECT id, path, score, vec_rank, fts_rank FROM h")
+def hybrid_cutoffs(spark, folder):
+    return _hits(_hybrid(spark, folder, search.Options(cutoffs=search.Cutoffs(0.55, -2))))
+
+
+_POLICY = {"reader": [{"prefix": "", "read": True}, {"prefix": "src1", "read": False}, {"prefix": "src1/en", "read": True}], "narrow": [{"prefix": "src2", "read": True, "write": True}, {"prefix": "src3/en", "read": True}]}
+_ALLOWED = "(NOT starts_with(path, 'src1/') OR starts_with(path, 'src1/en/'))"
+
+
+@_query(_hybrid_sql(allowed=_ALLOWED) + " SELECT id, path, score, vec_rank, fts_rank FROM h")
+def scoped_search(spark, folder):
+    return _hits(_hybrid(spark, folder, rules=scope.compiled(_POLICY)["reader"]))
+
+
+@_query(_LINKS + _hybrid_sql().removeprefix(_VIEW) + ", near AS (SELECT to_id AS id FROM edges WHERE from_id IN (SELECT id FROM h) AND to_id IS NOT NULL UNION SELECT from_id FROM edges WHERE to_id IN (SELECT id FROM h)), x AS (SELECT id, path FROM notes WHERE id IN (SELECT id FROM near) AND id NOT IN (SELECT id FROM h) AND superseded_by IS NULL ORDER BY path LIMIT 10) SELECT id, path, score, false AS expansion FROM h UNION ALL SELECT id, path, 0.0, true FROM x")
+def expand_links(spark, folder):
+    edges, _ = linked(spark, folder)
+    return _hybrid(spark, folder, search.Options(expand=True), edges=edges).select("id", "path", F.round("score", ROUND).alias("score"), "expansion")
+
+
+@_query(_VIEW + " SELECT path, title FROM notes WHERE starts_with(path, 'src1/')")
+def list_prefix(spark, folder):
+    return scope.listed(view(spark, folder), "/src1")
+
+
+@_query(_VIEW + " SELECT path, title FROM notes WHERE starts_with(path, 'src2/') OR starts_with(path, 'src3/en/')")
+def scoped_list(spark, folder):
+    return scope.listed(view(spark, folder), None, scope.compiled(_POLICY)["narrow"])
+
+
+@_query("WITH p AS (SELECT r_name || '/' || n_name || '/' || c_custkey || '.md' AS path, r_name, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey), a AS (SELECT DISTINCT 'agent' || n_regionkey AS agent FROM nation) SELECT agent, path, coalesce((SELECT 'agent' || n.n_regionkey = agent AND n.n_nationkey % 2 = 0 FROM nation n WHERE n.n_name = p.n_name AND 'agent' || n.n_regionkey = agent), r_name = (SELECT r.r_name FROM region r WHERE 'agent' || r.r_regionkey = agent)) AS allowed FROM p, a")
+def scope_resolution(spark, folder):
+    nation, region, customer = (table(spark, folder, t) for t in ("nation", "region", "customer"))
+    named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    agent = F.concat(F.lit("agent"), "n_regionkey")
+    fine = named.select(agent.alias("agent"), F.concat("r_name", F.lit("/"), "n_name", F.lit("/")).alias("prefix"), (F.col("n_nationkey") % 2 == 0).alias("allow"))
+    wide = named.select(agent.alias("agent"), F.concat("r_name", F.lit("/")).alias("prefix"), F.lit(True).alias("allow")).distinct()
+    paths = customer.join(named, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", "r_name", "n_name", F.concat("c_custkey", F.lit(".md"))).alias("path"))
+    return scope.decisions(paths, fine.union(wide))
+
+
+CEILING = 0.6
+_PAIRS = f"WITH u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS len FROM u), p AS (SELECT a.id AS a, b.id AS b, 1 - list_dot_product(a.e, b.e) / a.len / b.len AS distance FROM n a JOIN n b ON a.id < b.id) SELECT a, b, round(distance, {ROUND}) AS distance FROM p WHERE distance <= {CEILING}"
+
+
+def _embedded(spark, folder) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"), F.concat(F.lit("label"), "label", F.lit("/v-"), "vec_id", F.lit(".md")).alias("path"), F.lit(None).cast("string").alias("superseded_by"))
+
+
+@_query(_PAIRS)
+def dup_pairs(spark, folder):
+    return cluster.pairs(_embedded(spark, folder), CEILING).withColumn("distance", F.round("distance", ROUND))
+
+
+@_query()
+def dup_clusters(spark, folder):
+    rows = _embedded(spark, folder)
+    return cluster.clusters(rows, rows, CEILING).select(F.array_join("members", ",").alias("members"), "namespace", F.round("distance", ROUND).alias("distance"))
+
+
+@_query()
+def cross_namespace(spark, folder):
+    return dup_clusters(spark, folder).filter("namespace is null").select("members", "distance")
+
+
+def _log_lines(spark, folder) -> DataFrame:
+    """Events as lines of discard logs: one in seven can't be read."""
+    entry = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.struct(F.col("event_type").alias("title"), F.col("props").alias("body")).alias("candidate")))
+    events = table(spark, folder, "events")
+    return events.select((F.col("user_id") % 3).cast("int").alias("file"), F.col("event_id").alias("line"), F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(entry).alias("value"))
+
+
+@_query("SELECT row_number() OVER (ORDER BY user_id % 3 DESC, event_id DESC) AS n, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, event_type AS title, props AS body FROM events WHERE event_id % 7 <> 0")
+def discard_list(spark, folder):
+    return discards.entries_of(_log_lines(spark, folder))[0].select(F.col("n").cast("long").alias("n"), "at", "candidate.title", "candidate.body")
+
+
+@_query("SELECT count(*) AS entries, count(*) FILTER (WHERE date_trunc('second', ts) >= (SELECT date_trunc('second', max(ts)) - INTERVAL 7 DAY FROM events)) AS recent FROM events WHERE event_id % 7 <> 0")
+def discard_counts(spark, folder):
+    latest = table(spark, folder, "events").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    from datetime import datetime, timezone
+
+    return discards.counted(discards.entries_of(_log_lines(spark, folder))[0], datetime.fromisoformat(latest).replace(tzinfo=timezone.utc))
+
+
+@_query("WITH o AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 3600000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM o) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY user_id, burst")
+def debounce_sessions(spark, folder):
+    return stream.sessions(table(spark, folder, "events"), "user_id", "ts", 3_600_000_000)
+
+
+def _vault(spark, folder) -> str:
+    """The notes view's files of nation names, written to a temporary folder of this machine."""
+    root = tempfile.mkdtemp(prefix="quillgraph-vault-")
+    for row in table(spark, folder, "nation").collect():
+        place = Path(root) / f"region{row['n_regionkey']}" / f"nation-{row['n_nationkey']}.md"
+        place.parent.mkdir(exist_ok=True)
+        place.write_text(f"---\ntype: nation\n---\n# {row['n_name']}\n\nSee [[nation-{(row['n_nationkey'] + 1) % 25}]].\n")
+    (Path(root) / "_draft.md").write_text("# Draft\n")
+    (Path(root) / ".hidden.md").write_text("no")
+    return root
+
+
+_SCAN = "SELECT 'region' || n_regionkey || '/nation-' || n_nationkey || '.md' AS path, n_name AS title FROM nation UNION ALL SELECT '_draft.md', 'Draft'"
+
+
+@_query(_SCAN)
+def scan_notes(spark, folder):
+    rows = N.parsed(index.files_of(spark, _vault(spark, folder))).select("path", "title")
+    return spark.createDataFrame(rows.collect(), rows.schema)
+
+
+@_query("SELECT 'region' || n_regionkey || '/nation-0.md' AS path, n_name AS title, 'nation' AS type FROM nation WHERE n_nationkey = 0")
+def get_note(spark, folder):
+    root = _vault(spark, folder)
+    path = next(p for p in index.scan_vault(root) if p.endswith("/nation-0.md"))
+    note = N.parse_note(index.read_raw(root, path), path)
+    return spark.createDataFrame([(note.path, note.title, note.type)], "path string, title string, type string")
+
+
+@_query("SELECT true AS same, 26::BIGINT AS notes, 26::BIGINT AS unchanged")
+def rebuild_idempotent(spark, folder):
+    root, store = _vault(spark, folder), tempfile.mkdtemp(prefix="quillgraph-index-")
+    held = index.Index(spark, store)
+    held.refresh(root)
+    first = sorted(map(str, held.table("notes").drop("id").collect()))
+    unchanged = held.refresh(root).get("unchanged", 0)
+    held.refresh(root, rebuild=True)
+    again = sorted(map(str, held.table("notes").drop("id").collect()))
+    shutil.rmtree(store, ignore_errors=True)
+    return spark.createDataFrame([(first == again, len(again), unchanged)], "same boolean, notes long, unchanged long")
+
+
+def _streamed(spark, root: str, apply: Callable[[DataFrame], None]) -> None:
+    query = stream.changes(spark, root).writeStream.foreachBatch(lambda batch, _: apply(batch)).start()
+    try:
+        query.processAllAvailable()
+        (Path(root) / "_draft.md").unlink()
+        (Path(root) / "late.md").write_text("# Late\n")
+        time.sleep(0.05)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+@_query("SELECT 'region' || n_regionkey || '/nation-' || n_nationkey || '.md' AS path, 'changed' AS kind FROM nation UNION ALL VALUES ('_draft.md', 'changed'), ('_draft.md', 'gone'), ('late.md', 'changed')")
+def stream_changes(spark, folder):
+    seen: list[tuple[str, str]] = []
+    _streamed(spark, _vault(spark, folder), lambda batch: seen.extend((r["path"], r["kind"]) for r in batch.collect()))
+    return spark.createDataFrame(seen, "path string, kind string")
+
+
+@_query(_SCAN.replace("SELECT '_draft.md', 'Draft'", "SELECT 'late.md', 'Late'"))
+def stream_index(spark, folder):
+    root, store = _vault(spark, folder), tempfile.mkdtemp(prefix="quillgraph-index-")
+    held = index.Index(spark, store)
+    _streamed(spark, root, lambda batch: None if batch.isEmpty() else held.refresh(root))
+    rows = held.table("notes").select("path", "title").collect()
+    shutil.rmtree(store, ignore_errors=True)
+    return spark.createDataFrame([tuple(r) for r in rows], "path string, title string")
