@@ -12,6 +12,7 @@ import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as X
 
@@ -186,7 +187,7 @@ def qualify_links(raw: str, stem: str, target: str) -> str:
     return raw[:cut] + _LINK.sub(rewrite, raw[cut:])
 
 
-@F.pandas_udf("frontmatter string, usable boolean")
+@F.pandas_udf(T.StructType([T.StructField("frontmatter", T.StringType()), T.StructField("usable", T.BooleanType())]))
 def read_block(blocks: pd.Series) -> pd.DataFrame:
     """A block's mapping as JSON, and whether it is one."""
     values = [None if b is None else usable_frontmatter(b) for b in blocks]
