@@ -40,7 +40,6 @@ RESTART = 0.15
 MIN_POLARITY = 4.0
 PENALTIES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3)
 SLOTS = 1 << 21
-_CELLS = 4 << 20
 _KEYS = 6 << 20
 _PAIR = np.dtype([("hash", "<u8"), ("n", "<u4")])
 _SCHEMA = "doc_id long, score double, hits int, distinct_words int"
@@ -139,21 +138,27 @@ def _decoded(payload: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(numbers: np.ndarray, rows: np.ndarray, v: int, window: int) -> np.ndarray:
-    """Keys least * v + most of the pairs of different nodes within the window, in one document."""
+    """Keys of the pairs of different nodes within the window, in one document; see ``_ends``."""
     out = []
     for k in range(1, window + 1):
         a, b = numbers[:-k], numbers[k:]
         keep = (rows[:-k] == rows[k:]) & (a != b)
         a, b = a[keep], b[keep]
-        out.append(np.minimum(a, b) * v + np.maximum(a, b))
+        out.append((a + b) % v * v + np.minimum(a, b))
     return np.concatenate(out)
 
 
+def _ends(keys: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two nodes of a key, which is their sum modulo v, times v, plus one of them: even over the range of keys."""
+    a = keys % v
+    return a, (keys // v - a) % v
+
+
 def graph(docs: DataFrame, words: np.ndarray, window: int = WINDOW) -> DataFrame:
     """(dest, payload, marginal): blocks of the pair counts, pairs seen once left out, and what all pairs add to each node."""
     v = len(words)
     shared = P.Shared(docs.sparkSession, words)
-    parts = max(P.shuffle_width(docs.sparkSession), -(-v * v // _CELLS))
+    parts = P.shuffle_width(docs.sparkSession)
     span = -(-v * v // parts)
 
     def emit(held):
@@ -176,16 +181,15 @@ def graph(docs: DataFrame, words: np.ndarray, window: int = WINDOW) -> DataFrame
             yield emit(held)
 
     def add(batches):
-        totals, dest = np.zeros(span, np.int64), None
+        held, dest = [], None
         for batch in batches:
             for number, payload in zip(batch.column("dest").to_pylist(), batch.column("payload")):
                 dest = number
-                keys, n = _decoded(payload.as_py(), dest * span)
-                totals[keys - dest * span] += n
+                held.append(_decoded(payload.as_py(), dest * span))
         if dest is not None:
-            at = np.flatnonzero(totals)
-            keys, n = at + dest * span, totals[at]
-            marginal = np.bincount(keys // v, weights=n, minlength=v) + np.bincount(keys % v, weights=n, minlength=v)
+            keys, n = _added(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            a, b = _ends(keys, v)
+            marginal = np.bincount(a, weights=n, minlength=v) + np.bincount(b, weights=n, minlength=v)
             keep = n > 1
             yield pa.RecordBatch.from_arrays([pa.array([dest], pa.int32()), pa.array([_encoded(keys[keep], n[keep], dest * span)], pa.binary()), pa.array([marginal.tobytes()], pa.binary())], ["dest", "payload", "marginal"])
 
@@ -203,8 +207,7 @@ def _summed(rows, shape) -> np.ndarray:
 def walk(blocks: DataFrame, v: int, restart: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities (nodes, kinds) of walks that restart from the columns of ``restart``, and the nodes' degrees."""
     spark = blocks.sparkSession
-    parts = max(P.shuffle_width(spark), -(-v * v // _CELLS))
-    span = -(-v * v // parts)
+    span = -(-v * v // P.shuffle_width(spark))
     marginal = _summed(blocks.select("marginal").toLocalIterator(), v)
     total = marginal.sum()
     shared = P.Shared(spark, marginal)
@@ -213,7 +216,7 @@ def walk(blocks: DataFrame, v: int, restart: np.ndarray, steps: int = STEPS) ->
         c = shared.value
         for dest, payload in zip(batch.column("dest").to_pylist(), batch.column("payload")):
             keys, n = _decoded(payload.as_py(), dest * span)
-            a, b = keys // v, keys % v
+            a, b = _ends(keys, v)
             weight = np.log(n * total / (c[a] * c[b])) - SHIFT
             keep = weight > 0
             yield a[keep], b[keep], weight[keep]
