@@ -46,7 +46,7 @@ SELECT doc_id, text, lang, source, n_chars, CAST(unnest(generate_series(1, copie
 
 def _ranges(docs: DataFrame, column: str, ranges: int) -> list[float]:
     cuts = docs.select(F.percentile_approx(F.col(column).cast("double"), [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
-    return [float("-inf"), *sorted(set(cuts)), float("inf")]
+    return [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
 
 
 def _fraction(text: Column) -> Column:
