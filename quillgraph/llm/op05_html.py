@@ -32,6 +32,7 @@ from . import packing as P
 THRESHOLD = 0.5
 DECAY = 0.9
 BROADCAST_NODES = 4_000_000
+MAX_DEPTH = 48
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(class|id|href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,7 +56,8 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """The tree of a page. Broken markup never fails: unclosed elements end with their parents, stray ends are dropped."""
+    """The tree of a page. Broken markup never fails: unclosed elements end with their parents, stray ends are dropped,
+    and what is nested more than ``MAX_DEPTH`` deep is content of the element at that depth."""
     root = Node("", "")
     stack = [root]
     for match in _TOKEN.finditer(text):
@@ -83,6 +85,9 @@ def parse(text: str) -> Node:
             stack.pop()
             if tag == "tr" and stack[-1].tag == "tr":
                 stack.pop()
+        if len(stack) > MAX_DEPTH:
+            stack[-1].parts.append("\n")
+            continue
         node = Node(tag, f"{tag}.{found.get('class', '')}#{found.get('id', '')}")
         stack[-1].parts.append(node)
         if tag not in _VOID and not rest.endswith("/"):
