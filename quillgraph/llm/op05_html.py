@@ -8,8 +8,8 @@ with one page), or for an element without children 1 less the mean entropy of it
 sentences of its text, and links and images) over its pages: what is on all pages has importance 0,
 what is on one has 1. Composite importance goes bottom-up, (1 - g**l) of an element's own and g**l of
 the weighted mean of its styles, l being their number; a style has the mean of its elements.
-Branches of a page whose composite importance is below ``THRESHOLD`` are removed, and the text of the
-others is extracted.
+An element is noise if its composite importance and that of all elements below it in the page are
+less than ``THRESHOLD``; the largest such branches are removed, and the text of the rest is extracted.
 
 Pages are counted in parallel whatever their host: the rows of nodes, styles and contents are summed
 by keys, and only an element's sums are brought together for the bottom-up pass, level by level.
@@ -186,8 +186,11 @@ def importance(pages: DataFrame, decay: float = DECAY) -> DataFrame:
 
 def text_of(root: Node, host: str, noise) -> tuple[str, int]:
     """The text of the branches that aren't noise, blocks on lines of their own, and how many were removed."""
-    for _ in walk(root, host):
-        pass
+    order = [node for node, *_ in walk(root, host)]
+    low: set[int] = set()  # elements that are noise with all below them
+    for node in reversed(order):
+        if node.key in noise and all(id(c) in low for c in node.children()):
+            low.add(id(node))
     out: list[str] = []
     removed = 0
     stack: list = [root]
@@ -195,7 +198,7 @@ def text_of(root: Node, host: str, noise) -> tuple[str, int]:
         item = stack.pop()
         if isinstance(item, str):
             out.append(item)
-        elif item.key in noise:
+        elif id(item) in low:
             removed += 1
         else:
             out.append("\n")
