@@ -8,9 +8,9 @@ out. In a bounded sample of labelled documents (``TRAIN_DOCS``), the terms whose
 are the most standard errors above 0 (``SURE`` at least) are the toxic seeds, and all other terms of
 its clean documents the clean ones, by their documents. A walk with restarts from either kind of seed gives each word two
 probabilities; the log-ratio of their lifts over the stationary distribution is its polarity.
-Words of high polarity are the lexicon; a document's score adds the weights of its lexicon words
-less a penalty for each of its words; penalty (one of ``PENALTIES``) and threshold are those that
-separate the labelled sample best.
+Words whose polarity reaches a cut are the lexicon; a document's score adds the weights of its lexicon
+words less a penalty for each of its words; cut, penalty (of ``CUTS`` and ``PENALTIES``) and threshold are
+those that separate the labelled sample best.
 
 Counts and graph cover all documents. The graph stays distributed, in blocks of the pair matrix;
 only vectors over the nodes, whose number the shares bound, go to the driver and back.
@@ -37,7 +37,7 @@ SURE = 4.0
 TRAIN_DOCS = 3000
 STEPS = 8
 RESTART = 0.15
-MIN_POLARITY = 4.0
+CUTS = (4.0, 3.0, 2.0, 1.0)
 PENALTIES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3)
 SLOTS = 1 << 21
 _KEYS = 6 << 20
@@ -324,15 +324,16 @@ def fitted(docs: DataFrame, labels: DataFrame, **bounds) -> Lexicon:
     usual = (degree + degree.mean() + 1e-12) / (degree + degree.mean() + 1e-12).sum()
     lift = x / usual[:, None]
     polarity = np.log2((lift[:, 0] + 0.1) / (lift[:, 1] + 0.1))
-    chosen = polarity >= MIN_POLARITY
-    weights = np.where(chosen, polarity, 0.0)
-    if not chosen.any():
-        return nothing()
-    sums = np.array([weights[numbers].sum() for _, _, numbers in sample])
     size = np.array([n for _, n, _ in sample])
-    tried = [(*best_threshold(sums - penalty * size, y), penalty) for penalty in PENALTIES]
-    _, threshold, penalty = max(tried, key=lambda t: t[0])
-    return Lexicon(words[chosen], weights[chosen], penalty, threshold)
+    best, found = 0.0, nothing()
+    for cut in CUTS:
+        weights = np.where(polarity >= cut, polarity, 0.0)
+        sums = np.array([weights[numbers].sum() for _, _, numbers in sample])
+        for penalty in PENALTIES:
+            f1, threshold = best_threshold(sums - penalty * size, y)
+            if f1 > best and sums.any():
+                best, found = f1, Lexicon(words[polarity >= cut], weights[polarity >= cut], penalty, threshold)
+    return found
 
 
 def toxic(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
