@@ -257,7 +257,7 @@ def test_toxicity_finds_unseen_words(frame, spark):
     bad = [f"vile{k}" for k in range(12)]
     rows, truth = [], []
     for k in range(900):
-        words = [rng.choice(WORDS) for _ in range(60)]
+        words = [f"{rng.choice(WORDS)}{rng.randrange(10)}" for _ in range(60)]
         toxic = k % 6 == 0
         if toxic:
             for _ in range(6):
