@@ -13,14 +13,14 @@ from .operators import cluster, discards, gate, graph, index, scope, search
 from .streaming import changes
 
 
-class Vault:
+class Notebook:
     """A folder of notes and its index. Without a policy everyone may read and write everything."""
 
     def __init__(self, spark: SparkSession, root: str, embedder=None, scopes: dict | None = None, store: str | None = None, decider: Callable | None = None, merger: Callable | None = None, cutoffs: search.Cutoffs | None = None):
         self.spark, self.root = spark, os.path.abspath(root)
         self.policy = scope.compiled(scopes)
         self.embedder = embedder or search.LexicalEmbedder()
-        self.held = index.Index(spark, store or os.path.join(self.root, ".vault"), self.embedder)
+        self.held = index.Index(spark, store or os.path.join(self.root, ".quillgraph"), self.embedder)
         self.gate = gate.Gate(self.root, self, self.policy)
         self.decider, self.merger, self.cutoffs = decider, merger, cutoffs or search.Cutoffs()
 
@@ -51,7 +51,7 @@ class Vault:
         held: dict[str, list[str]] = {}
         for row in known:
             held.setdefault(row["slug"], []).append(row["path"])
-        on_disk = index.scan_vault(self.root)
+        on_disk = index.scan_notebook(self.root)
         alive = set(on_disk)
         new = {p.rpartition("/")[2].removesuffix(".md") for p in on_disk if p not in paths}
         out = []
@@ -85,7 +85,7 @@ class Vault:
         rules = self._rules(context)
         notes, vectors, edges = (self.held.table(t) for t in ("notes", "vectors", "edges"))
         if notes is None:
-            raise LookupError("the vault is not indexed")
+            raise LookupError("the notebook is not indexed")
         if index.vectors_stale(vectors, self.embedder.model, self.embedder.dims):
             raise ValueError("the index was made by another embedder: reindex first")
         allowed = None if rules is None else scope.readable(rules, F.col("path"))
@@ -120,7 +120,7 @@ class Vault:
 
     def propose(self, candidate: gate.Candidate, context: gate.Context | None = None) -> gate.Result:
         if self.decider is None:
-            raise ValueError("the vault was opened without a decider")
+            raise ValueError("the notebook was opened without a decider")
         return self.gate.propose(candidate, self.decider, self.cutoffs, context=context)
 
     def clusters(self, ceiling: float) -> list[dict]:
@@ -129,14 +129,14 @@ class Vault:
 
     def consolidate(self, ceiling: float, cap: int = gate.MAX_MERGES, write: bool = False, context: gate.Context | None = None) -> gate.Report:
         if self.merger is None:
-            raise ValueError("the vault was opened without a merger")
+            raise ValueError("the notebook was opened without a merger")
         return self.gate.consolidate(lambda: self.clusters(ceiling), self.merger, ceiling, cap, write, context)
 
     def doctor(self, repair: bool = True, rebuild: bool = False) -> dict:
         """Drift before the repair, and what is wrong with the graph after it."""
         files = index.files_of(self.spark, self.root).select("path", F.sha2("raw", 256).alias("hash"))
         held = self.held.table("notes")
-        drift = index.drift(files, held.select("path", "hash")).collect() if held is not None else [{"path": p, "kind": "stale"} for p in index.scan_vault(self.root)]
+        drift = index.drift(files, held.select("path", "hash")).collect() if held is not None else [{"path": p, "kind": "stale"} for p in index.scan_notebook(self.root)]
         report = {kind: sorted(r["path"] for r in drift if r["kind"] == kind) for kind in ("stale", "missing")}
         if repair or rebuild or held is None:
             report["reembedded"] = bool(self.reindex(rebuild).get("reembedded"))

@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from .api import Vault
+from .api import Notebook
 from .operators import discards
 
 
@@ -52,29 +52,29 @@ def summary(stats: dict) -> str:
     return text
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, vault: Vault | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, notebook: Notebook | None = None) -> int:
     """Run a command; 0 if all is well, 1 if links are left to repair or there is nothing to show, 2 on errors."""
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quillgraph").getOrCreate()
-    vault = vault or Vault(spark, args.root)
+    notebook = notebook or Notebook(spark, args.root)
     try:
-        return _run(args, spark, vault)
+        return _run(args, spark, notebook)
     except (ValueError, LookupError) as error:
         print(safe(error), file=sys.stderr)
         return 2
 
 
-def _run(args, spark: SparkSession, vault: Vault) -> int:
+def _run(args, spark: SparkSession, notebook: Notebook) -> int:
     if args.command == "reindex":
-        print(summary(vault.reindex(args.rebuild)))
+        print(summary(notebook.reindex(args.rebuild)))
     elif args.command == "search":
-        if vault.held.current is None:
-            print("vault is not indexed (run reindex)")
+        if notebook.held.current is None:
+            print("notebook is not indexed (run reindex)")
             return 0
-        hits = vault.search(" ".join(args.query)).collect()
+        hits = notebook.search(" ".join(args.query)).collect()
         print("\n".join(safe(f"{h['score']:.4f}  {h['path']} — {h['title']}") for h in hits) or "no matches")
     elif args.command == "doctor":
-        report = vault.doctor(not args.no_repair, args.rebuild)
+        report = notebook.doctor(not args.no_repair, args.rebuild)
         print(f"{len(report['stale'])} stale, {len(report['missing'])} missing")
         if report["discards"]["entries"]:
             print(f"discard log: {report['discards']['entries']} entries ({report['discards']['recent']} recent)")
@@ -87,11 +87,11 @@ def _run(args, spark: SparkSession, vault: Vault) -> int:
                 print(safe(f"{kind.removesuffix('s')}: {path}"))
         return int(bool(report["broken"] or report["ambiguous"]))
     elif args.command == "consolidate":
-        vault.reindex()
-        for c in vault.clusters(args.ceiling):
+        notebook.reindex()
+        for c in notebook.clusters(args.ceiling):
             print(safe(f"{c['distance']:.4f}  {c['namespace'] if c['namespace'] is not None else '(several namespaces)'}  {', '.join(c['members'])}"))
     elif args.command == "watch":
-        query = vault.watch(lambda stats: print(summary(stats)))
+        query = notebook.watch(lambda stats: print(summary(stats)))
         try:
             query.awaitTermination() if args.seconds is None else time.sleep(args.seconds)
         except KeyboardInterrupt:
@@ -99,7 +99,7 @@ def _run(args, spark: SparkSession, vault: Vault) -> int:
         finally:
             query.stop()
     elif args.verb == "list":
-        entries, bad = discards.list_discards(spark, vault.root)
+        entries, bad = discards.list_discards(spark, notebook.root)
         for e in entries.orderBy("n").collect():
             print(safe(f"{e['n']}  {e['at']}  {e['candidate']['title']}"))
         if bad:
@@ -107,13 +107,13 @@ def _run(args, spark: SparkSession, vault: Vault) -> int:
     elif args.n is None:
         raise ValueError(f"discards {args.verb} needs a number")
     elif args.verb == "show":
-        entry = discards.get_discard(spark, vault.root, args.n)
+        entry = discards.get_discard(spark, notebook.root, args.n)
         if entry is None:
             raise LookupError(f"no discarded candidate {args.n}")
         print(safe(entry["candidate"]["title"]))
         print("\n".join(safe(line) for line in entry["candidate"]["body"].split("\n")))
     else:
-        result = vault.restore_discard(args.n)
+        result = notebook.restore_discard(args.n)
         print(safe(f"{result.action}  {result.path or ''}"))
     return 0
 

@@ -485,9 +485,9 @@ def debounce_sessions(spark, folder):
     return stream.sessions(table(spark, folder, "events"), "user_id", "ts", 3_600_000_000)
 
 
-def _vault(spark, folder) -> str:
+def _notebook(spark, folder) -> str:
     """The notes view's files of nation names, written to a temporary folder of this machine."""
-    root = tempfile.mkdtemp(prefix="quillgraph-vault-")
+    root = tempfile.mkdtemp(prefix="quillgraph-notebook-")
     for row in table(spark, folder, "nation").collect():
         place = Path(root) / f"region{row['n_regionkey']}" / f"nation-{row['n_nationkey']}.md"
         place.parent.mkdir(exist_ok=True)
@@ -502,21 +502,21 @@ _SCAN = "SELECT 'region' || n_regionkey || '/nation-' || n_nationkey || '.md' AS
 
 @_query(_SCAN)
 def scan_notes(spark, folder):
-    rows = N.parsed(index.files_of(spark, _vault(spark, folder))).select("path", "title")
+    rows = N.parsed(index.files_of(spark, _notebook(spark, folder))).select("path", "title")
     return spark.createDataFrame(rows.collect(), rows.schema)
 
 
 @_query("SELECT 'region' || n_regionkey || '/nation-0.md' AS path, n_name AS title, 'nation' AS type FROM nation WHERE n_nationkey = 0")
 def get_note(spark, folder):
-    root = _vault(spark, folder)
-    path = next(p for p in index.scan_vault(root) if p.endswith("/nation-0.md"))
+    root = _notebook(spark, folder)
+    path = next(p for p in index.scan_notebook(root) if p.endswith("/nation-0.md"))
     note = N.parse_note(index.read_raw(root, path), path)
     return spark.createDataFrame([(note.path, note.title, note.type)], "path string, title string, type string")
 
 
 @_query("SELECT true AS same, 26::BIGINT AS notes, 26::BIGINT AS unchanged")
 def rebuild_idempotent(spark, folder):
-    root, store = _vault(spark, folder), tempfile.mkdtemp(prefix="quillgraph-index-")
+    root, store = _notebook(spark, folder), tempfile.mkdtemp(prefix="quillgraph-index-")
     held = index.Index(spark, store)
     held.refresh(root)
     first = sorted(map(str, held.table("notes").drop("id").collect()))
@@ -542,13 +542,13 @@ def _streamed(spark, root: str, apply: Callable[[DataFrame], None]) -> None:
 @_query("SELECT 'region' || n_regionkey || '/nation-' || n_nationkey || '.md' AS path, 'changed' AS kind FROM nation UNION ALL VALUES ('_draft.md', 'changed'), ('_draft.md', 'gone'), ('late.md', 'changed')")
 def stream_changes(spark, folder):
     seen: list[tuple[str, str]] = []
-    _streamed(spark, _vault(spark, folder), lambda batch: seen.extend((r["path"], r["kind"]) for r in batch.collect()))
+    _streamed(spark, _notebook(spark, folder), lambda batch: seen.extend((r["path"], r["kind"]) for r in batch.collect()))
     return spark.createDataFrame(seen, "path string, kind string")
 
 
 @_query(_SCAN.replace("SELECT '_draft.md', 'Draft'", "SELECT 'late.md', 'Late'"))
 def stream_index(spark, folder):
-    root, store = _vault(spark, folder), tempfile.mkdtemp(prefix="quillgraph-index-")
+    root, store = _notebook(spark, folder), tempfile.mkdtemp(prefix="quillgraph-index-")
     held = index.Index(spark, store)
     _streamed(spark, root, lambda batch: None if batch.isEmpty() else held.refresh(root))
     rows = held.table("notes").select("path", "title").collect()

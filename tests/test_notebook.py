@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 from quillgraph import cli
-from quillgraph.api import Vault
+from quillgraph.api import Notebook
 from quillgraph.functions import notes as N
 from quillgraph.operators import discards, embedding, gate, index, search
 
@@ -33,10 +33,10 @@ def _write(root, files):
 
 
 @pytest.fixture
-def vault(spark, tmp_path):
-    root = tmp_path / "vault"
+def notebook(spark, tmp_path):
+    root = tmp_path / "notebook"
     _write(root, FILES)
-    held = Vault(spark, str(root), cutoffs=search.Cutoffs(distance=0.8))
+    held = Notebook(spark, str(root), cutoffs=search.Cutoffs(distance=0.8))
     held.reindex()
     return held
 
@@ -44,121 +44,121 @@ def vault(spark, tmp_path):
 def test_scan_skips_hidden_and_links(tmp_path):
     _write(tmp_path, FILES)
     os.symlink(tmp_path / "lonely.md", tmp_path / "link.md")
-    assert index.scan_vault(str(tmp_path)) == sorted(p for p in FILES if p.endswith(".md") and not p.startswith("."))
+    assert index.scan_notebook(str(tmp_path)) == sorted(p for p in FILES if p.endswith(".md") and not p.startswith("."))
 
 
-def test_index_graph_and_doctor(vault):
-    Path(vault.root, "lonely.md").write_text("# Lonely\nchanged\n")
-    Path(vault.root, "_draft.md").unlink()
-    report = vault.doctor()
+def test_index_graph_and_doctor(notebook):
+    Path(notebook.root, "lonely.md").write_text("# Lonely\nchanged\n")
+    Path(notebook.root, "_draft.md").unlink()
+    report = notebook.doctor()
     assert report["stale"] == ["lonely.md"] and report["missing"] == ["_draft.md"]
     assert report["broken"] == [("notes/acme.md", "ghost")]
     assert report["ambiguous"] == [("notes/hub.md", "dup", ["one/dup", "two/dup"])]
     assert report["orphans"] == ["lonely.md", "two/dup.md"]
-    again = vault.reindex()
+    again = notebook.reindex()
     assert again["unchanged"] == 6 and not again.get("updated")
 
 
-def test_a_failed_pass_leaves_the_index(vault):
-    before = vault.held.current
-    Path(vault.root, "new.md").write_text("# New\n")
+def test_a_failed_pass_leaves_the_index(notebook):
+    before = notebook.held.current
+    Path(notebook.root, "new.md").write_text("# New\n")
 
     def fail():
         raise RuntimeError("no")
 
     with pytest.raises(RuntimeError):
-        vault.held.refresh(vault.root, before_swap=fail)
-    assert vault.held.current == before and vault.held.table("notes").count() == 7
+        notebook.held.refresh(notebook.root, before_swap=fail)
+    assert notebook.held.current == before and notebook.held.table("notes").count() == 7
 
 
-def test_another_embedder_must_reindex(spark, vault):
-    other = Vault(spark, vault.root, embedder=search.LexicalEmbedder(64))
+def test_another_embedder_must_reindex(spark, notebook):
+    other = Notebook(spark, notebook.root, embedder=search.LexicalEmbedder(64))
     with pytest.raises(ValueError):
         other.search("acme")
     assert other.reindex()["reembedded"] == 1
     assert other.search("acme").count() > 0
 
 
-def test_new_stem_collisions_are_qualified(vault):
-    _write(vault.root, {"other/acme.md": "# Another\n"})
-    stats = vault.reindex()
+def test_new_stem_collisions_are_qualified(notebook):
+    _write(notebook.root, {"other/acme.md": "# Another\n"})
+    stats = notebook.reindex()
     assert stats["qualified"] == [{"stem": "acme", "target": "notes/acme", "rewritten": ["notes/globex.md"], "skipped": []}]
-    assert "[[notes/acme]]" in Path(vault.root, "notes/globex.md").read_text()
-    assert vault.reindex()["unchanged"] == 8
+    assert "[[notes/acme]]" in Path(notebook.root, "notes/globex.md").read_text()
+    assert notebook.reindex()["unchanged"] == 8
 
 
-def test_get_and_list(vault):
-    assert vault.get("notes/acme.md").title == "Acme"
-    assert vault.get("notes/none.md") is None and vault.get("a\0.md") is None
+def test_get_and_list(notebook):
+    assert notebook.get("notes/acme.md").title == "Acme"
+    assert notebook.get("notes/none.md") is None and notebook.get("a\0.md") is None
     with pytest.raises(gate.GateError):
-        vault.get("../x.md")
-    assert [r["path"] for r in vault.list("notes/").collect()] == ["notes/acme.md", "notes/globex.md", "notes/hub.md"]
+        notebook.get("../x.md")
+    assert [r["path"] for r in notebook.list("notes/").collect()] == ["notes/acme.md", "notes/globex.md", "notes/hub.md"]
 
 
 CANDIDATE = gate.Candidate("Acme renewal", "Acme renewal and pricing agreed.", namespace="notes")
 
 
-def _decide(vault, decision):
-    vault.decider = lambda candidate, similar: decision(similar) if callable(decision) else decision
-    return vault.propose(CANDIDATE, gate.Context("tester", "t-1"))
+def _decide(notebook, decision):
+    notebook.decider = lambda candidate, similar: decision(similar) if callable(decision) else decision
+    return notebook.propose(CANDIDATE, gate.Context("tester", "t-1"))
 
 
-def test_create_update_supersede_discard(vault):
-    made = _decide(vault, {"action": "create"})
-    text = Path(vault.root, made.path).read_text()
+def test_create_update_supersede_discard(notebook):
+    made = _decide(notebook, {"action": "create"})
+    text = Path(notebook.root, made.path).read_text()
     assert made.path == "notes/acme-renewal.md" and 'vault_agent: "tester"' in text and 'vault_source: "t-1"' in text
-    assert _decide(vault, {"action": "create"}).path == "notes/acme-renewal-2.md"
-    done = _decide(vault, {"action": "update", "target": "notes/acme.md"})
-    text = Path(vault.root, "notes/acme.md").read_text()
+    assert _decide(notebook, {"action": "create"}).path == "notes/acme-renewal-2.md"
+    done = _decide(notebook, {"action": "update", "target": "notes/acme.md"})
+    text = Path(notebook.root, "notes/acme.md").read_text()
     assert done.action == "update" and "number: 01234  # keep" in text and text.endswith(CANDIDATE.body)
-    done = _decide(vault, {"action": "supersede", "target": "notes/acme.md"})
-    old = N.parse_note(Path(vault.root, "notes/acme.md").read_text(), "notes/acme.md")
+    done = _decide(notebook, {"action": "supersede", "target": "notes/acme.md"})
+    old = N.parse_note(Path(notebook.root, "notes/acme.md").read_text(), "notes/acme.md")
     assert done.superseded == "notes/acme.md" and old.frontmatter["superseded_by"] == done.path
-    assert "notes/acme.md" not in [r["path"] for r in vault.search("acme renewal").collect()]
-    assert _decide(vault, {"action": "discard"}).path is None
-    entries, bad = discards.list_discards(vault.spark, vault.root)
+    assert "notes/acme.md" not in [r["path"] for r in notebook.search("acme renewal").collect()]
+    assert _decide(notebook, {"action": "discard"}).path is None
+    entries, bad = discards.list_discards(notebook.spark, notebook.root)
     assert bad == 0 and entries.first()["candidate"]["title"] == "Acme renewal"
-    vault.decider = lambda candidate, similar: {"action": "create"}
-    assert vault.restore_discard(1).action == "create"
+    notebook.decider = lambda candidate, similar: {"action": "create"}
+    assert notebook.restore_discard(1).action == "create"
 
 
-def test_edits_in_between_fall_back_to_create(vault):
+def test_edits_in_between_fall_back_to_create(notebook):
     def decision(similar):
-        place = Path(vault.root, "notes/acme.md")
+        place = Path(notebook.root, "notes/acme.md")
         place.write_text(place.read_text() + "human edit\n")
         return {"action": "update", "target": "notes/acme.md"}
 
-    result = _decide(vault, decision)
-    assert result.fell_back and result.action == "create" and "human edit" in Path(vault.root, "notes/acme.md").read_text()
+    result = _decide(notebook, decision)
+    assert result.fell_back and result.action == "create" and "human edit" in Path(notebook.root, "notes/acme.md").read_text()
 
 
-def test_gate_refusals(spark, vault):
+def test_gate_refusals(spark, notebook):
     with pytest.raises(gate.GateError):
-        _decide(vault, {"action": "update", "target": "lonely-stranger.md"})
-    vault.decider = lambda candidate, similar: {"action": "create"}
+        _decide(notebook, {"action": "update", "target": "lonely-stranger.md"})
+    notebook.decider = lambda candidate, similar: {"action": "create"}
     with pytest.raises(gate.GateError):
-        vault.propose(gate.Candidate("x", "y", namespace="../out"))
+        notebook.propose(gate.Candidate("x", "y", namespace="../out"))
     with pytest.raises(gate.GateError):
-        vault.gate.propose(CANDIDATE, vault.decider, search.Cutoffs())
+        notebook.gate.propose(CANDIDATE, notebook.decider, search.Cutoffs())
     for bad in ({"action": "burn"}, {"action": "update"}, {"action": "create", "target": "x"}, {"action": "create", "body": " "}, []):
         with pytest.raises(gate.GateError):
             gate.check_decision(bad)
-    scoped = Vault(spark, vault.root, scopes={"tester": [{"prefix": "notes", "read": True}]}, decider=vault.decider, cutoffs=vault.cutoffs)
+    scoped = Notebook(spark, notebook.root, scopes={"tester": [{"prefix": "notes", "read": True}]}, decider=notebook.decider, cutoffs=notebook.cutoffs)
     with pytest.raises(gate.GateError):
         scoped.propose(CANDIDATE, gate.Context("tester"))
     assert {r["path"].split("/")[0] for r in scoped.search("acme", context=gate.Context("tester")).collect()} == {"notes"}
 
 
-def test_consolidate_merges_and_reports(vault):
-    _write(vault.root, {"notes/p.md": "# Same words here\nalpha beta gamma\n", "notes/q.md": "# Same words here\nalpha beta gamma delta\n"})
-    vault.merger = lambda notes: {"title": "Merged", "body": " + ".join(n.slug for n in notes)}
-    dry = vault.consolidate(0.15)
+def test_consolidate_merges_and_reports(notebook):
+    _write(notebook.root, {"notes/p.md": "# Same words here\nalpha beta gamma\n", "notes/q.md": "# Same words here\nalpha beta gamma delta\n"})
+    notebook.merger = lambda notes: {"title": "Merged", "body": " + ".join(n.slug for n in notes)}
+    dry = notebook.consolidate(0.15)
     assert [m["cluster"]["members"] for m in dry.merges] == [["notes/p.md", "notes/q.md"]] and dry.dry_run
-    done = vault.consolidate(0.15, write=True)
+    done = notebook.consolidate(0.15, write=True)
     assert done.merges[0]["superseded"] == ["notes/p.md", "notes/q.md"] and done.merges[0]["path"] == "notes/merged.md"
-    assert vault.consolidate(0.15).merges == []
+    assert notebook.consolidate(0.15).merges == []
     with pytest.raises(gate.GateError):
-        vault.consolidate(float("nan"))
+        notebook.consolidate(float("nan"))
 
 
 def test_log_rotation_and_bad_lines(spark, tmp_path):
@@ -200,30 +200,30 @@ def test_http_embedder_and_decider():
         failing.embed(["x"])
 
 
-def test_cli(spark, vault, capsys):
-    assert cli.main(["search", "acme", "renewal"], spark, vault) == 0
+def test_cli(spark, notebook, capsys):
+    assert cli.main(["search", "acme", "renewal"], spark, notebook) == 0
     assert "notes/acme.md — Acme" in capsys.readouterr().out
-    assert cli.main(["doctor"], spark, vault) == 1
+    assert cli.main(["doctor"], spark, notebook) == 1
     assert "broken link: notes/acme.md -> [[ghost]]" in capsys.readouterr().out
-    assert cli.main(["reindex"], spark, vault) == 0 and "unchanged" in capsys.readouterr().out
-    assert cli.main(["discards", "show", "1"], spark, vault) == 2
+    assert cli.main(["reindex"], spark, notebook) == 0 and "unchanged" in capsys.readouterr().out
+    assert cli.main(["discards", "show", "1"], spark, notebook) == 2
     with pytest.raises(SystemExit):
-        cli.main(["consolidate", "--ceiling", "3"], spark, vault)
+        cli.main(["consolidate", "--ceiling", "3"], spark, notebook)
 
 
-def test_watch_reindexes(vault):
+def test_watch_reindexes(notebook):
     seen = []
-    query = vault.watch(seen.append)
+    query = notebook.watch(seen.append)
     try:
-        Path(vault.root, "fresh.md").write_text("# Fresh\n")
+        Path(notebook.root, "fresh.md").write_text("# Fresh\n")
         for _ in range(120):
-            if vault.held.table("notes").filter("path = 'fresh.md'").count():
+            if notebook.held.table("notes").filter("path = 'fresh.md'").count():
                 break
             time.sleep(0.5)
         query.processAllAvailable()
     finally:
         query.stop()
-    assert seen and vault.held.table("notes").filter("path = 'fresh.md'").count() == 1
+    assert seen and notebook.held.table("notes").filter("path = 'fresh.md'").count() == 1
 
 
 def test_the_rest_imports_without_the_llm_folders(tmp_path):
