@@ -9,7 +9,8 @@ Candidates share the bits of a key in one of ``tables`` samples of ``key_bits``
 a key every document is compared with every other: bit planes are stored vertically, 64
 documents to a word; distances of a query to all of them are kept in bitwise counters that
 carry-save adders update, and entries whose 64 distances all exceed the radius are given up
-every 32 planes. Pairs at 30 of 256 bits are found with probability 0.998, at 40 with 0.96.
+every 32 planes. Pairs at 40 of 256 bits share a key with probability 0.999, at 50 with 0.99, at
+the radius of 60 with 0.91.
 ``key_bits`` should grow by one for each doubling of the corpus beyond some 10^8 documents
 (with ``tables`` raised to keep recall); the cost of a document is tables * N / 2**key_bits
 comparisons of 1/64 word each a plane.
@@ -28,8 +29,8 @@ from . import textblock as T
 BITS = 256
 SLOTS = 1 << 20
 RADIUS = 60
-KEY_BITS = 14
-TABLES = 32
+KEY_BITS = 12
+TABLES = 64
 
 _RECORD = np.dtype([("key", "<u4"), ("id", "<i8"), ("sig", "<u8", (4,))])
 

@@ -69,6 +69,18 @@ def test_near_duplicates_recall(documents):
     assert set(group) <= linked and all(group[x] < x for x in group)
 
 
+def test_keys_reach_every_distance_up_to_the_radius():
+    rng = np.random.default_rng(7)
+    for distance in (20, 30, 40, 44, 48, 52, 56, op01_simhash.RADIUS):
+        sigs = rng.integers(0, 2**64, (4000, 4), dtype=np.uint64)
+        flips = np.zeros((4000, op01_simhash.BITS), np.uint8)
+        flips[np.arange(4000)[:, None], rng.random(flips.shape).argpartition(distance, 1)[:, :distance]] = 1
+        near = sigs ^ np.packbits(flips, axis=1).view(np.uint64)
+        assert (np.bitwise_count(sigs ^ near).sum(1) == distance).all()
+        keys = [op01_simhash.band_keys(x, op01_simhash.KEY_BITS, op01_simhash.TABLES) for x in (sigs, near)]
+        assert (keys[0] == keys[1]).any(1).mean() >= 0.9, distance
+
+
 def test_copies_are_caught_and_others_left(frame):
     rng = random.Random(2)
     texts = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(120)) for _ in range(60)]
