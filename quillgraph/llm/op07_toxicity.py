@@ -4,16 +4,18 @@ Nodes are the words that occur in ``MIN_SHARE`` to ``MAX_SHARE`` of all document
 words of frequent hash slots are counted by themselves). Edges join nodes that co-occur within
 ``WINDOW`` nodes of each other in a document, weighted by the pointwise mutual information of all
 such co-occurrences in the corpus less ``SHIFT`` where that is positive; pairs seen once are left
-out. In a bounded sample of labelled documents (``TRAIN_DOCS``), the terms whose log-odds for the label
-are the most standard errors above 0 (``SURE`` at least) are the toxic seeds, and all other terms of
-its clean documents the clean ones, by their documents. A walk with restarts from either kind of seed gives each word two
-probabilities; the log-ratio of their lifts over the stationary distribution is its polarity.
+out. Languages with ``LEAST_LABELLED`` labelled documents of either kind at least are fitted each by
+itself, on all their labels; all labelled documents are one more group, for the other languages. In each group the terms
+whose log-odds for the label are the most standard errors above 0 (``SURE`` at least) are the toxic seeds, and all
+other terms of its clean documents the clean ones, by their documents. Walks with restarts from either kind of a
+group's seeds give each word two probabilities; the log-ratio of their lifts over the stationary distribution is its polarity in the group.
 Words whose polarity reaches a cut are the lexicon; a document's score adds the weights of its lexicon
 words less a penalty for each of its words; cut, penalty (of ``CUTS`` and ``PENALTIES``) and threshold are
-those that separate the labelled sample best.
+those that separate the labelled documents of its language best, or all of them where it isn't fitted.
 
 Counts and graph cover all documents. The graph stays distributed, in blocks of the pair matrix;
-only vectors over the nodes, whose number the shares bound, go to the driver and back.
+only vectors over the nodes, whose number the shares bound, go to the driver and back, and some 40
+bytes for each labelled document that has a word of the lexicon.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ WINDOW = 3
 SHIFT = 1.0
 SEEDS = 100
 SURE = 4.0
-TRAIN_DOCS = 3000
+LEAST_LABELLED = 10
 STEPS = 8
 RESTART = 0.15
 CUTS = (4.0, 3.0, 2.0, 1.0)
@@ -42,6 +44,7 @@ PENALTIES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3)
 SLOTS = 1 << 21
 _KEYS = 6 << 20
 _PAIR = np.dtype([("hash", "<u8"), ("n", "<u4")])
+_SCORED = np.dtype([("group", "<i2"), ("y", "<u1"), ("n", "<i4"), ("sums", "<f4", (2, len(CUTS)))])
 _SCHEMA = "doc_id long, score double, hits int, distinct_words int"
 
 
@@ -244,48 +247,90 @@ def walk(blocks: DataFrame, v: int, restart: np.ndarray, steps: int = STEPS) ->
     return x, degree
 
 
-def labelled(docs: DataFrame, labels: DataFrame, words: np.ndarray, train_docs: int = TRAIN_DOCS) -> list[tuple[int, int, np.ndarray]]:
-    """(toxic, words, node numbers with repeats) of at most ``train_docs`` labelled documents."""
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").alias("y")).filter("id is not null and y in (0, 1)")
-    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(train_docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(F.broadcast(known), "id")
-    shared = P.Shared(docs.sparkSession, words)
+def with_language(docs: DataFrame) -> DataFrame:
+    """(id, text, lang); a table without languages is of one."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", lang.alias("lang"))
 
-    def describe(batches):
-        for batch in batches:
-            ids, ys, sizes, packs = [], [], [], []
-            for first, last, hashes, rows in _blocks(batch.column("text")):
-                at, number = nodes_of(hashes, shared.value)
-                cut = np.searchsorted(rows[at], np.arange(last - first + 1))
-                size = np.bincount(rows, minlength=last - first)
-                for i in range(last - first):
-                    sizes.append(int(size[i]))
-                    ids.append(batch.column("id")[first + i].as_py())
-                    ys.append(batch.column("y")[first + i].as_py())
-                    packs.append(number[cut[i] : cut[i + 1]].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packs, pa.binary())], ["id", "y", "n", "nodes"])
-
-    rows = sorted(texts.mapInArrow(describe, "id long, y int, n int, nodes binary").collect())
-    return [(r["y"], r["n"], np.frombuffer(r["nodes"], np.int32)) for r in rows]
-
-
-def seeds(sample: list[tuple[int, np.ndarray]], v: int, count: int = SEEDS) -> np.ndarray:
-    """(nodes, 2): toxic seeds alike, the terms whose log-odds speak most and surely for the label; clean ones by their clean documents."""
-    df = np.zeros((v, 2))
-    n = np.zeros(2)
-    for y, _, numbers in sample:
-        df[np.unique(numbers), y] += 1
-        n[y] += 1
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, text, lang, y) of all documents with a text and a label; the worst label of a doc_id counts."""
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    return with_language(docs).filter("text is not null").join(F.broadcast(known.groupBy("id").agg(F.max("y").alias("y"))), "id")
+
+
+def languages(known: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages that are fitted by themselves, and the documents (groups, 2) of each and of all, by label."""
+    found: dict = {}
+    for r in known.groupBy("lang", "y").count().collect():
+        found.setdefault(r["lang"], [0, 0])[r["y"]] = r["count"]
+    langs = sorted(k for k, n in found.items() if k is not None and min(n) >= LEAST_LABELLED)
+    total = np.sum([np.zeros(2), *found.values()], axis=0)
+    return langs, np.array([*(found[k] for k in langs), total], np.float64)
+
+
+def _groups(column, langs: list[str]) -> np.ndarray:
+    numbers = {k: i for i, k in enumerate(langs)}
+    return np.array([numbers.get(k, len(langs)) for k in column.to_pylist()], np.int64)
+
+
+def word_counts(known: DataFrame, words: np.ndarray, langs: list[str]) -> np.ndarray:
+    """Labelled documents (nodes, groups, 2) that have each node; the last group is of all."""
+    shared = P.Shared(known.sparkSession, words)
+    strata = 2 * (len(langs) + 1)
+
+    def count(batch, totals):
+        stratum = _groups(batch.column("lang"), langs) * 2 + batch.column("y").to_numpy(zero_copy_only=False)
+        for first, _, hashes, rows in _blocks(batch.column("text")):
+            at, number = nodes_of(hashes, shared.value)
+            pairs = T.distinct(rows[at] * np.int64(len(shared.value)) + number)
+            row, number = pairs // len(shared.value), pairs % len(shared.value)
+            np.add.at(totals, number * strata + stratum[first + row], 1)
+
+    df = P.hashed_totals(known.select("text", "lang", "y"), len(words) * strata, count).reshape(len(words), -1, 2).astype(np.float64)
+    df[:, -1] = df.sum(1)
+    return df
+
+
+def surety(df: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """By node, how many standard errors its log-odds for the label are above 0; df: documents (nodes, 2)."""
     odds = np.log((df[:, 1] + 0.5) / (n[1] - df[:, 1] + 0.5)) - np.log((df[:, 0] + 0.5) / (n[0] - df[:, 0] + 0.5))
-    error = np.sqrt((1 / (df + 0.5)).sum(1) + (1 / (n - df + 0.5)).sum(1))
-    order = np.argsort(-odds / error, kind="stable")
-    out = np.zeros((v, 2))
-    sure = order[:count]
-    out[sure[odds[sure] / error[sure] >= SURE], 0] = 1
+    return odds / np.sqrt((1 / (df + 0.5)).sum(1) + (1 / (n - df + 0.5)).sum(1))
+
+
+def seeds(df: np.ndarray, n: np.ndarray, count: int = SEEDS) -> np.ndarray:
+    """(nodes, 2): toxic seeds alike, the terms that speak most and surely for the label; clean ones by their clean documents."""
+    sure = surety(df, n)
+    order = np.argsort(-sure, kind="stable")[:count]
+    out = np.zeros((len(df), 2))
+    out[order[sure[order] >= SURE], 0] = 1
     out[:, 1] = np.where(out[:, 0] > 0, 0, df[:, 0])
     return out / np.maximum(out.sum(0), 1)
 
 
+def lexicon_sums(known: DataFrame, words: np.ndarray, polarity: np.ndarray, langs: list[str]) -> np.ndarray:
+    """Group, label, words and, for its group and for that of all, by cut the sum of weights of the labelled documents that have a word of a widest lexicon."""
+    any_group = (polarity >= min(CUTS)).any(1)
+    shared = P.Shared(known.sparkSession, (words[any_group], polarity[any_group]))
+
+    def add(batches):
+        words, polarity = shared.value
+        for batch in batches:
+            group, y = _groups(batch.column("lang"), langs), batch.column("y").to_numpy(zero_copy_only=False)
+            for first, last, hashes, rows in _blocks(batch.column("text")):
+                at, number = nodes_of(hashes, words)
+                owner, n = rows[at], last - first
+                out = np.zeros(n, _SCORED)
+                out["group"], out["y"], out["n"] = group[first:last], y[first:last], np.bincount(rows, minlength=n)
+                for side, value in enumerate((polarity[number, group[first + owner]], polarity[number, len(langs)])):
+                    for k, cut in enumerate(CUTS):
+                        out["sums"][:, side, k] = np.bincount(owner, weights=np.where(value >= cut, value, 0.0), minlength=n)
+                yield pa.RecordBatch.from_arrays([pa.array([out[(out["sums"] > 0).any((1, 2))].tobytes()], pa.binary())], ["rows"])
+
+    parts = known.select("text", "lang", "y").mapInArrow(add, "rows binary").toLocalIterator()
+    return np.frombuffer(b"".join(bytes(r["rows"]) for r in parts), _SCORED)
+
+
 @dataclass
 class Lexicon:
     """Sorted word hashes, their weights, the penalty of a word, and the least score of a toxic document."""
@@ -300,40 +345,47 @@ def nothing() -> Lexicon:
     return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 0.0, float("inf"))
 
 
-def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+def best_threshold(scores: np.ndarray, toxic: np.ndarray, positives: float) -> tuple[float, float]:
     """The highest F1 and its threshold, midway to the next lower score; of equal ones the highest."""
     order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], toxic[order]
+    s, y = scores[order], toxic[order].astype(np.float64)
     last = np.append(s[1:] != s[:-1], True)
-    f1 = np.where(last, 2 * np.cumsum(y) / (np.arange(1, len(s) + 1) + y.sum()), -1)
+    f1 = np.where(last, 2 * np.cumsum(y) / (np.arange(1, len(s) + 1) + positives), -1)
     k = int(np.argmax(f1))
     return float(f1[k]), float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, **bounds) -> Lexicon:
-    """The lexicon; empty, so that nothing is toxic, where labels of both kinds or nodes are missing."""
+def best_lexicon(words: np.ndarray, polarity: np.ndarray, rows: np.ndarray, side: int, positives: float) -> Lexicon:
+    best, found = 0.0, nothing()
+    for k, cut in enumerate(CUTS):
+        hit = rows[rows["sums"][:, side, k] > 0]
+        for penalty in PENALTIES if len(hit) else ():
+            f1, threshold = best_threshold(hit["sums"][:, side, k] - penalty * hit["n"], hit["y"], positives)
+            if f1 > best:
+                best, found = f1, Lexicon(words[polarity >= cut], polarity[polarity >= cut], penalty, threshold)
+    return found
+
+
+def fitted(docs: DataFrame, labels: DataFrame, **bounds) -> tuple[list[str], list[Lexicon]]:
+    """Languages, and the lexicon of each and of all others; empty, so that nothing is toxic, where labels of both kinds or nodes are missing."""
+    known = labelled(docs, labels)
+    langs, n = languages(known)
+    if not n.sum(0).all():
+        return [], [nothing()]
     words = vocabulary(docs, **bounds)
-    sample = labelled(docs, labels, words)
-    y = np.array([t for t, _, _ in sample])
-    if len(words) < 2 or not len(y) or y.min() == y.max():
-        return nothing()
-    start = seeds(sample, len(words))
-    if not start[:, 0].any():
-        return nothing()
+    if len(words) < 2:
+        return [], [nothing()]
+    df = word_counts(known, words, langs)
+    start = np.concatenate([seeds(df[:, g], n[g]) for g in range(len(n))], 1)
+    if not start[:, ::2].any():
+        return [], [nothing()]
     x, degree = walk(graph(docs, words), len(words), start)
     usual = (degree + degree.mean() + 1e-12) / (degree + degree.mean() + 1e-12).sum()
     lift = x / usual[:, None]
-    polarity = np.log2((lift[:, 0] + 0.1) / (lift[:, 1] + 0.1))
-    size = np.array([n for _, n, _ in sample])
-    best, found = 0.0, nothing()
-    for cut in CUTS:
-        weights = np.where(polarity >= cut, polarity, 0.0)
-        sums = np.array([weights[numbers].sum() for _, _, numbers in sample])
-        for penalty in PENALTIES:
-            f1, threshold = best_threshold(sums - penalty * size, y)
-            if f1 > best and sums.any():
-                best, found = f1, Lexicon(words[polarity >= cut], weights[polarity >= cut], penalty, threshold)
-    return found
+    polarity = np.log2((lift[:, ::2] + 0.1) / (lift[:, 1::2] + 0.1))
+    rows = lexicon_sums(known, words, polarity, langs)
+    each = [best_lexicon(words, polarity[:, g], rows[rows["group"] == g], 0, n[g, 1]) for g in range(len(langs))]
+    return langs, [*each, best_lexicon(words, polarity[:, -1], rows, 1, n[-1, 1])]
 
 
 def toxic(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
@@ -341,22 +393,27 @@ def toxic(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
 
     ``hits`` counts lexicon words, ``distinct_words`` different ones. A text
     without a lexicon word, a null or empty one among them, is never toxic. Repeated rows each give theirs, a null doc_id stays null; the worst label of a
-    repeated doc_id counts; other columns are not read. An empty table gives no rows.
+    repeated doc_id counts; of other columns only lang is read, where there is one. An empty table gives no rows.
     """
     shared = P.Shared(docs.sparkSession, fitted(docs, labels, **bounds))
 
     def score(batches):
-        lexicon = shared.value
+        langs, lexicons = shared.value
         for batch in batches:
+            group = _groups(batch.column("lang"), langs)
             for first, last, hashes, rows in _blocks(batch.column("text")):
-                at, number = nodes_of(hashes, lexicon.words)
-                owner = rows[at]
                 n = last - first
-                total = np.bincount(owner, weights=lexicon.weights[number], minlength=n) - lexicon.penalty * np.bincount(rows, minlength=n)
-                hits = np.bincount(owner, minlength=n)
-                distinct = np.bincount(T.distinct(owner * max(len(lexicon.words), 1) + number) // max(len(lexicon.words), 1), minlength=n)
-                over = np.flatnonzero((total >= lexicon.threshold) & (hits > 0))
-                ids = batch.column("doc_id").take(pa.array(over + first))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(total[over]), pa.array(hits[over].astype(np.int32)), pa.array(distinct[over].astype(np.int32))], ["doc_id", "score", "hits", "distinct_words"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, _SCHEMA)
+                size = np.bincount(rows, minlength=n)
+                for g in np.unique(group[first:last]):
+                    lexicon = lexicons[g]
+                    at, number = nodes_of(hashes, lexicon.words)
+                    own = group[first:last][rows[at]] == g
+                    owner, number = rows[at][own], number[own]
+                    total = np.bincount(owner, weights=lexicon.weights[number], minlength=n) - lexicon.penalty * size
+                    hits = np.bincount(owner, minlength=n)
+                    distinct = np.bincount(T.distinct(owner * max(len(lexicon.words), 1) + number) // max(len(lexicon.words), 1), minlength=n)
+                    over = np.flatnonzero((total >= lexicon.threshold) & (hits > 0))
+                    ids = batch.column("id").take(pa.array(over + first))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(total[over]), pa.array(hits[over].astype(np.int32)), pa.array(distinct[over].astype(np.int32))], ["doc_id", "score", "hits", "distinct_words"])
+
+    return with_language(docs).mapInArrow(score, _SCHEMA)

@@ -282,6 +282,28 @@ def test_toxicity_finds_unseen_words(frame, spark):
     assert np.mean([f for f, t in held if t]) > 0.95 and np.mean([f for f, t in held if not t]) < 0.02
 
 
+def test_toxicity_is_fitted_by_language(frame, spark):
+    rng = random.Random(12)
+    words = [f"gift{k}" for k in range(12)]
+    rows, truth = [], []
+    for k in range(1800):
+        lang = "de" if k % 5 == 0 else "en"
+        said = [f"{lang}{rng.choice(WORDS)}{rng.randrange(10)}" for _ in range(50)]
+        toxic = k % 3 == 0
+        if lang == "de" and toxic:
+            said[10:10] = rng.sample(words, 5)
+        elif toxic:
+            said[10:10] = [f"vile{rng.randrange(30)}" for _ in range(5)]
+        elif rng.random() < (0.9 if lang == "en" else 0.2):
+            said.insert(rng.randrange(50), rng.choice(words))
+        rows.append((k, " ".join(said), lang, "s0"))
+        truth.append((k, 1, int(toxic)))
+    labels = spark.createDataFrame(truth, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"] for r in op07_toxicity.toxic(frame(rows), labels.filter("doc_id % 2 = 0")).collect()}
+    held = [(k in got, truth[k][2]) for k, _, lang, _ in rows if k % 2 and lang == "de"]
+    assert np.mean([f for f, t in held if t]) > 0.9 and np.mean([f for f, t in held if not t]) < 0.05
+
+
 def test_pair_counts_equal_brute_force(frame):
     rng = random.Random(3)
     rows = [(k, " ".join(rng.choice(WORDS[:12]) for _ in range(30))) for k in range(20)]
