@@ -70,6 +70,10 @@ class Shared:
             self._loaded = pickle.loads(self._sent.value)
         return self._loaded
 
+    def drop(self) -> None:
+        """Free the value's copies where nothing will ask for it again."""
+        self._sent.destroy()
+
 
 class Router:
     """Gathers records of one numpy dtype for destinations 0..n-1 and emits them as blocks."""
