@@ -91,13 +91,13 @@ def _run(args, spark: SparkSession, notebook: Notebook) -> int:
         for c in notebook.clusters(args.ceiling):
             print(safe(f"{c['distance']:.4f}  {c['namespace'] if c['namespace'] is not None else '(several namespaces)'}  {', '.join(c['members'])}"))
     elif args.command == "watch":
-        query = notebook.watch(lambda stats: print(summary(stats)))
+        watcher = notebook.watch(lambda paths, stats: print(summary(stats)))
         try:
-            query.awaitTermination() if args.seconds is None else time.sleep(args.seconds)
+            watcher.query.awaitTermination() if args.seconds is None else time.sleep(args.seconds)
         except KeyboardInterrupt:
             pass
         finally:
-            query.stop()
+            watcher.close()
     elif args.verb == "list":
         entries, bad = discards.list_discards(spark, notebook.root)
         for e in entries.orderBy("n").collect():

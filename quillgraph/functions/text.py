@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -86,22 +87,33 @@ def qualified(body: Column, stem: Column, target: Column) -> Column:
     return F.regexp_replace(body, quoted, F.concat(F.lit("[["), safe, F.lit("$1]]")))
 
 
+_MARKS = r"[\u0300-\u0331]"
+
+
 def _folding() -> tuple[str, str]:
-    plain, marked = [], []
+    """Lower-case Latin letters with diacritics, and the letters without; the final sigma is a sigma."""
+    plain, marked = ["σ"], ["ς"]
     for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
         parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) > 1 and parts[0].isascii() and all(map(unicodedata.combining, parts[1:])):
+        if chr(code).lower() == chr(code) and len(parts) > 1 and parts[0].isascii() and all(map(unicodedata.combining, parts[1:])):
             marked.append(chr(code))
             plain.append(parts[0])
     return "".join(marked), "".join(plain)
 
 
 _MARKED, _PLAIN = _folding()
+_FOLD = str.maketrans(_MARKED, _PLAIN)
 
 
 def folded(text: Column) -> Column:
-    """Lower case without Latin diacritics."""
-    return F.translate(F.lower(text), _MARKED, _PLAIN)
+    """Lower case without Latin diacritics and without combining marks; other scripts keep theirs. Texts in ASCII are lowered only."""
+    marked = F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), _MARKS, "")
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(marked)
+
+
+def fold(text: str) -> str:
+    """What ``folded`` is for columns."""
+    return re.sub(_MARKS, "", text.lower().translate(_FOLD))
 
 
 def words_of(text: Column) -> Column:
@@ -119,10 +131,3 @@ def match_expression(text: Column) -> Column:
     """The terms as quoted phrases joined by OR; null without terms."""
     quoted = F.transform(search_terms(text), lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"')))
     return F.nullif(F.array_join(quoted, " OR "), F.lit(""))
-
-
-def fnv1a(word: Column) -> Column:
-    """FNV-1a, 32 bits, of an ASCII word."""
-    codes = F.transform(F.split(word, ""), lambda c: F.ascii(c).cast("long"))
-    step = lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
-    return F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(2166136261), step)

@@ -2,9 +2,12 @@
 
 Every non-blank line of a text is described by binary features (binned lengths, shares of
 signs, capitals, digits and repeated words, place in the text). The field is trained on a
-bounded sample of labelled documents (``TRAIN_DOCS``, those with the least hash of doc_id):
-the lines of a document labelled good are content, those of one labelled bad are boilerplate.
-Viterbi decoding then labels the lines of every whole text, and a document stays if content
+bounded sample of labelled documents (``TRAIN_DOCS``, those with the least hash of doc_id). Labels are of
+documents, so those of lines are inferred: lines of a document labelled bad are boilerplate, and so is, in a good one too, a line that stands
+between different neighbours in ``REPEATS`` documents of the sample at least, as menus and footers do (and the lines of copies don't). A first
+model, without the chain, learns from these; lines of good documents that it takes for boilerplate by ``MARGIN`` nats are relabelled, as long
+as content holds the share that decides; then the field is trained on the sequences of labels.
+Viterbi decoding labels the lines of every whole text, and a document stays if content
 lines hold at least ``MIN_SHARE`` of the characters of its lines.
 """
 
@@ -24,6 +27,8 @@ TRAIN_DOCS = 3000
 MIN_SHARE = 0.5
 EPOCHS = 120
 PENALTY = 1e-3
+REPEATS = 3
+MARGIN = 2.0
 _CUT = 256
 
 _BINS = {
@@ -66,7 +71,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def line_features(column):
-    """(first row, row after the last, features of the lines, row of each, characters of each) by block."""
+    """(first row, row after the last, features of the lines, row of each, characters of each, hash of each) by block."""
     for first, last, data, offsets in T.text_blocks(column):
         starts, ends = T.spans((data != 10) & (data != 13), offsets)
         low = _LOWER[data]
@@ -83,7 +88,7 @@ def line_features(column):
         rows = T.row_of(starts, offsets)
         n = len(starts)
         if n == 0:
-            yield first, last, np.zeros((0, len(_BINS)), np.int16), rows, np.zeros(0)
+            yield first, last, np.zeros((0, len(_BINS)), np.int16), rows, np.zeros(0), np.zeros(0, np.uint64)
             continue
         classes = _CLASS[data]
         chars = count((data & 0xC0) != 0x80)
@@ -92,7 +97,8 @@ def line_features(column):
         distinct = np.bincount(T.unique_per_row(hashes, line)[0], minlength=n)[:n]
         per_word, per_char = np.maximum(words, 1), np.maximum(chars, 1)
         inner = count(T.word_mask(data) & ((data & 0xC0) != 0x80))
-        key = T.mix(T.hash_spans(low, starts, ends) ^ T.mix(rows.astype(np.uint64) + np.uint64(1)))
+        whole = T.hash_spans(low, starts, ends)
+        key = T.mix(whole ^ T.mix(rows.astype(np.uint64) + np.uint64(1)))
         seen = np.ones(n)
         seen[np.unique(key, return_index=True)[1]] = 0
         new_doc = np.concatenate([[True], rows[1:] != rows[:-1]])
@@ -114,7 +120,7 @@ def line_features(column):
             "ends_sentence": np.isin(tail, np.frombuffer(b".!?:\"'", np.uint8)).astype(float),
         }
         features = np.stack([np.searchsorted(bins, values[name], "right") + _FIRST[k] for k, (name, bins) in enumerate(_BINS.items())], 1)
-        yield first, last, features.astype(np.int16), rows, chars
+        yield first, last, features.astype(np.int16), rows, chars, whole
 
 
 @dataclass
@@ -222,7 +228,42 @@ def train(features: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> Fiel
     return Field(flat[:WIDTH], flat[WIDTH : WIDTH + 2], flat[WIDTH + 2 :].reshape(2, 2))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
+def repeated(lines: np.ndarray, lengths: np.ndarray, repeats: int = REPEATS) -> np.ndarray:
+    """Which lines stand in ``repeats`` documents at least, with another line before and after each time.
+
+    The copies of a document share the neighbours of a line, and so count once. ``lines`` are hashes, by document.
+    """
+    begin = np.cumsum(lengths) - lengths
+    before, after = np.roll(lines, 1), np.roll(lines, -1)
+    before[begin[lengths > 0]] = 0
+    after[(begin + lengths - 1)[lengths > 0]] = 0
+    out = np.ones(len(lines), bool)
+    for near in (before, after):
+        pairs = np.unique(np.stack([lines, near], 1), axis=0) if len(lines) else np.zeros((0, 2), np.uint64)
+        values, n = np.unique(pairs[:, 0], return_counts=True)
+        out &= n[np.searchsorted(values, lines)] >= repeats if len(lines) else out
+    return out
+
+
+def line_labels(features: np.ndarray, lengths: np.ndarray, quality: np.ndarray, chars: np.ndarray, lines: np.ndarray, min_share: float = MIN_SHARE) -> np.ndarray:
+    """The labels of lines that the field is trained on, from those of their documents; see the module's text."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    total = np.maximum(np.bincount(doc, weights=chars, minlength=len(lengths)), 1)
+
+    def allowed(marks: np.ndarray) -> np.ndarray:
+        """The marks, but where content would not hold its share of a good document all its lines are content."""
+        short = np.bincount(doc, weights=chars * marks, minlength=len(lengths)) < min_share * total
+        return np.where(quality[doc] == 0, 0, np.where(short[doc], 1, marks))
+
+    labels = allowed(np.where(repeated(lines, lengths), 0, 1))
+    if not len(labels) or labels.min() == labels.max():
+        return labels
+    alone = train(features, np.ones(len(labels), np.int64), labels)
+    odds = alone.emission(features) + alone.start[1] - alone.start[0]
+    return allowed(np.where(odds < -MARGIN, 0, labels))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MIN_SHARE) -> Field:
     """The field trained on at most ``train_docs`` labelled documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(train_docs)
@@ -230,29 +271,29 @@ def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) ->
 
     def describe(batches):
         for batch in batches:
-            ids, ys, sizes, packs = [], [], [], []
-            for first, last, features, rows, _ in line_features(batch.column("text")):
+            ids, ys, packs = [], [], [[], [], []]
+            for first, last, features, rows, chars, lines in line_features(batch.column("text")):
                 at = np.searchsorted(rows, np.arange(last - first + 1))
                 for i in np.flatnonzero(np.diff(at)):
                     ids.append(batch.column("id")[first + i].as_py())
                     ys.append(batch.column("y")[first + i].as_py())
-                    sizes.append(int(at[i + 1] - at[i]))
-                    packs.append(features[at[i] : at[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packs, pa.binary())], ["id", "y", "n", "features"])
+                    for pack, values in zip(packs, (features, chars, lines)):
+                        pack.append(values[at[i] : at[i + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), *(pa.array(p, pa.binary()) for p in packs)], ["id", "y", "features", "chars", "lines"])
 
-    rows = sorted(texts.mapInArrow(describe, "id long, y int, n int, features binary").collect())
-    if not rows:
-        return train(np.zeros((0, len(_BINS)), np.int16), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    features = np.concatenate([np.frombuffer(r["features"], np.int16).reshape(-1, len(_BINS)) for r in rows])
-    lengths = np.array([r["n"] for r in rows])
-    return train(features, lengths, np.repeat([r["y"] for r in rows], lengths))
+    rows = sorted(texts.mapInArrow(describe, "id long, y int, features binary, chars binary, lines binary").collect())
+    joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+    features, chars, lines = joined("features", np.int16).reshape(-1, len(_BINS)), joined("chars", np.float64), joined("lines", np.uint64)
+    lengths = np.array([len(r["chars"]) // 8 for r in rows], np.int64)
+    marks = line_labels(features, lengths, np.array([r["y"] for r in rows], np.int64), chars, lines, min_share)
+    return train(features, lengths, marks)
 
 
 def judged(column, field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines, content lines and content share of every text of a batch."""
     n = len(column)
     lines, content, share = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    for first, last, features, rows, chars in line_features(column):
+    for first, last, features, rows, chars, _ in line_features(column):
         counts = np.bincount(rows, minlength=last - first)
         marks = viterbi(field, field.emission(features), counts[counts > 0])
         total = np.bincount(rows, weights=chars, minlength=last - first)
@@ -266,7 +307,8 @@ def judged(column, field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def retained(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """(doc_id, n_lines, content_lines, content_share) of the documents that stay.
 
-    A null or blank text has no line and is rejected; a share of exactly ``min_share`` stays.
+    A null or blank text has no line and is rejected; a share of exactly ``min_share`` stays; a text of any length is decoded whole. An
+    empty table gives no rows; without labels of both kinds every line is content.
     Repeated rows are judged each; a null doc_id is kept as null; other columns are not read.
     Labels other than 0 and 1 are ignored, and the worst label of a repeated doc_id counts.
     """

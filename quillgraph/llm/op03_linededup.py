@@ -28,7 +28,7 @@ from . import textblock as T
 
 NUM, DEN = 9, 10
 SLOTS = 1 << 21
-FILTER_SLOTS = 1 << 24
+LEAST_MARKS, MOST_MARKS = 20, 29
 _ROWS = 512
 SHORT_TO = 120
 _LONG = 512
@@ -36,7 +36,8 @@ _CHUNK = 1 << 20
 _BASE = [("token", "<u4"), ("size", "<u4"), ("pos", "<u2"), ("lead", "?"), ("set", "<u8"), ("doc", "<i8"), ("line", "<i4")]
 _SHORT_RECORD = np.dtype([*_BASE, ("parity", "<u8", (1,))])
 _LONG_RECORD = np.dtype([*_BASE, ("parity", "<u8", (_LONG // 64,))])
-_MEMBER = "part long, doc long, line int"
+_MEMBER = "part long, doc long, line int, set long"
+_SET = np.uint64(0x5851F42D4C957F2D)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -87,7 +88,7 @@ def _postings(column, ids: np.ndarray, rank: np.ndarray, num: int, den: int):
         begin = np.searchsorted(line, np.arange(n))
         size = np.diff(np.append(begin, len(line)))
         with np.errstate(over="ignore"):
-            whole = np.add.reduceat(T.mix(hashes + np.uint64(0x5851F42D4C957F2D)), begin)
+            whole = np.add.reduceat(T.mix(hashes + _SET), begin)
         one = np.uint64(1)
         parity = np.bitwise_xor.reduceat(one << (hashes & np.uint64(63)), begin)
         place = np.arange(len(line)) - begin[line]
@@ -248,7 +249,7 @@ class _Join:
         return P.exchanged(self.docs.mapInArrow(post, P.BLOCK_SCHEMA), 2 * width)
 
     def members(self) -> DataFrame:
-        """(part, doc, line) of lines that have a pair left in a word's postings; part null: the same words as an earlier line."""
+        """(part, doc, line, set) of lines that have a pair left in a word's postings; part null: the same words as an earlier line."""
         width, num, den = self.width, self.num, self.den
 
         def search(batches):
@@ -259,14 +260,18 @@ class _Join:
             del records
             r = _members(firsts, num, den)
             part = r["token"].astype(np.int64) * 2 + (dest >= width)
-            names = ["part", "doc", "line"]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(r["doc"]), pa.array(r["line"])], names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(copies), pa.int64()), pa.array(copies[:, 0]), pa.array(copies[:, 1].astype(np.int32))], names)
+            names = ["part", "doc", "line", "set"]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(r["doc"]), pa.array(r["line"]), pa.array(r["set"].view(np.int64))], names)
+            none = pa.nulls(len(copies), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(copies[:, 0]), pa.array(copies[:, 1].astype(np.int32)), none], names)
 
         return self.blocks().mapInArrow(search, _MEMBER)
 
     def verified(self, members: DataFrame) -> DataFrame:
-        """(doc, line) of the members that an earlier member of their group matches, counted on their words."""
+        """(doc, line) of the members that an earlier member of their group matches, counted on their words.
+
+        A line is known by its document, number and set of words, as rows with other texts may share its doc_id.
+        """
         marks = P.Shared(self.spark, _marks(members))
         num, den = self.num, self.den
 
@@ -280,10 +285,16 @@ class _Join:
                     keep = wanted[line] if len(line) else np.zeros(0, bool)
                     owner, value, _ = T.unique_per_row(hashes[keep], line[keep])
                     wanted = np.flatnonzero(wanted)
-                    words = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.append(wanted, len(line_rows))), pa.int32()), pa.array(value.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[wanted].astype(np.int64)), pa.array(numbers[wanted].astype(np.int32)), words], ["doc", "line", "words"])
+                    begin = np.searchsorted(owner, np.append(wanted, len(line_rows)))
+                    with np.errstate(over="ignore"):
+                        sets = np.add.reduceat(T.mix(value + _SET), begin[:-1]) if len(wanted) else np.zeros(0, np.uint64)
+                    words = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(value.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[wanted].astype(np.int64)), pa.array(numbers[wanted].astype(np.int32)), pa.array(sets.view(np.int64)), words], ["doc", "line", "set", "words"])
 
         def compare(batches):
+            batches = list(batches)
+            if not batches:
+                return
             table = pa.Table.from_batches(batches).combine_chunks()
             part, doc, line = (table.column(c).to_numpy() for c in ("part", "doc", "line"))
             order = np.lexsort((line, doc, part))
@@ -301,8 +312,8 @@ class _Join:
             rows = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(doc[rows].astype(np.int64)), pa.array(line[rows].astype(np.int32))], ["doc", "line"])
 
-        sets = self.docs.mapInArrow(lines, "doc long, line int, words array<long>").dropDuplicates(["doc", "line"])
-        held = members.join(sets, ["doc", "line"]).repartition(self.width, "part")
+        sets = self.docs.mapInArrow(lines, "doc long, line int, set long, words array<long>").dropDuplicates(["doc", "line", "set"])
+        held = members.join(sets, ["doc", "line", "set"]).repartition(self.width, "part")
         return held.mapInArrow(compare, "doc long, line int").distinct()
 
 
@@ -312,45 +323,58 @@ def _shifted(batch: pa.RecordBatch, by: int) -> pa.RecordBatch:
 
 
 def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys >> np.uint64(64 - 24)
+    slot = keys % np.uint64(8 * len(marks))
     return ((marks[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _marks(members: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over hashed keys of the members and their documents.
+def _marks(members: DataFrame, most: int = MOST_MARKS) -> np.ndarray:
+    """A bitmap over hashed keys of the members and their documents, of some sixteen bits a member.
 
-    A false positive costs a line that is sent in vain.
+    A false positive costs a line that is sent in vain, and nothing else. The bitmap goes to all tasks, so it has 2**most bits
+    (64 MB) at most: with many more members than that most lines are sent, and the join picks them out.
     """
+    n = members.count()
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * n))), min(LEAST_MARKS, most), most))
+    parts = max(1, bits >> 25)
+    span = bits // parts
+    record = np.dtype([("at", "<u4"), ("bits", "u1")])
 
     def collect(batches):
-        used = np.zeros(FILTER_SLOTS // 8, np.uint8)
+        used = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             doc, line = batch.column("doc").to_numpy(), batch.column("line").to_numpy()
             for place in (line.astype(np.int64) + 1, np.zeros(len(line))):
-                slot = _line_key(doc, place) >> np.uint64(64 - 24)
+                slot = _line_key(doc, place) % np.uint64(bits)
                 np.bitwise_or.at(used, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
         at = np.flatnonzero(used)
-        record = np.empty(len(at), np.dtype([("at", "<u4"), ("bits", "u1")]))
-        record["at"], record["bits"] = at, used[at]
-        router = P.Router(1)
-        yield from router.add(np.zeros(len(at), np.int64), record)
+        records = np.empty(len(at), record)
+        records["at"], records["bits"] = at, used[at]
+        router = P.Router(parts)
+        yield from router.add(at // (span // 8), records)
         yield from router.flush()
 
     def merge(batches):
-        used = np.zeros(FILTER_SLOTS // 8, np.uint8)
-        record = P.unpacked(batches, np.dtype([("at", "<u4"), ("bits", "u1")]))
-        np.bitwise_or.at(used, record["at"].astype(np.int64), record["bits"])
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([used.tobytes()], pa.binary())], ["dest", "payload"])
+        used, part = np.zeros(span // 8, np.uint8), None
+        for batch in batches:
+            for k in range(len(batch)):
+                part = batch.column("dest")[k].as_py()
+                records = P.unpacked(iter([batch.slice(k, 1)]), record)
+                np.bitwise_or.at(used, records["at"].astype(np.int64) - part * (span // 8), records["bits"])
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([used.tobytes()], pa.binary())], ["dest", "payload"])
 
-    rows = P.exchanged(members.select("doc", "line").mapInArrow(collect, P.BLOCK_SCHEMA), 1).mapInArrow(merge, P.BLOCK_SCHEMA).collect()
-    return np.frombuffer(rows[0]["payload"], np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
+    for row in P.exchanged(members.select("doc", "line").mapInArrow(collect, P.BLOCK_SCHEMA), parts).mapInArrow(merge, P.BLOCK_SCHEMA).collect():
+        out[row["dest"] * (span // 8) : (row["dest"] + 1) * (span // 8)] = np.frombuffer(row["payload"], np.uint8)
+    return out
 
 
 def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc, line) of every line to remove, numbered from 0 in its text.
 
-    Lines without a word are never removed. Rows without a doc_id take no part; rows that share a
-    doc_id share decisions, line number by line number, and don't remove each other's same line.
+    Lines without a word, and so null and blank texts, are never removed; texts and lines of any length are compared whole. Rows
+    without a doc_id take no part; rows that share a doc_id share decisions, line number by line number, and don't remove each other's
+    same line, whether or not their texts differ. Of equal lines the one of the least doc_id and number stays. An empty table gives no rows.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     join = _Join(narrow, num, den)

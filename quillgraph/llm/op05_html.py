@@ -6,13 +6,15 @@ an element. So an element has a style for each different way in which its pages
 importance of an element is the entropy of its styles over its pages (base: the number of pages; 1
 with one page), or for an element without children 1 less the mean entropy of its contents (the
 sentences of its text, and links and images) over its pages: what is on all pages has importance 0,
-what is on one has 1. Composite importance goes bottom-up, (1 - g**l) of an element's own and g**l of
+what is on one has 1. (An element with both children and text of its own has the greater of the two.) Composite importance goes bottom-up, (1 - g**l) of an element's own and g**l of
 the weighted mean of its styles, l being their number; a style has the mean of its elements.
 An element is noise if its composite importance and that of all elements below it in the page are
 less than ``THRESHOLD``; the largest such branches are removed, and the text of the rest is extracted.
 
 Pages are counted in parallel whatever their host: the rows of nodes, styles and contents are summed
-by keys, and only an element's sums are brought together for the bottom-up pass, level by level.
+by keys, so that no task has all rows of an element. Composite importance is a linear sum over the elements below, with a weight
+for each step down; it is summed by doubling: each round joins every element with the one it reaches so far, so that a tree of any
+depth d takes log2(d) rounds.
 Scripts, styles and comments are never content.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,7 +35,6 @@ from . import packing as P
 THRESHOLD = 0.5
 DECAY = 0.9
 BROADCAST_NODES = 4_000_000
-MAX_DEPTH = 48
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(class|id|href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,10 +58,10 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """The tree of a page. Broken markup never fails: unclosed elements end with their parents, stray ends are dropped,
-    and what is nested more than ``MAX_DEPTH`` deep is content of the element at that depth."""
+    """The tree of a page, of any depth. Broken markup never fails: unclosed elements end with their parents, stray ends are dropped."""
     root = Node("", "")
     stack = [root]
+    opened: dict[str, int] = {}  # how often each tag is on the stack, so that a stray end is known without a search
     for match in _TOKEN.finditer(text):
         _, end, tag, rest, words = match.groups()
         if words is not None:
@@ -69,9 +71,10 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if end:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
+            while opened.get(tag):
+                gone = stack.pop().tag
+                opened[gone] -= 1
+                if gone == tag:
                     break
             continue
         found = {name.lower(): a or b or c for name, a, b, c in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
@@ -82,16 +85,14 @@ def parse(text: str) -> Node:
             continue
         closes = _CLOSES.get(tag, {"p"} if tag in _BLOCK else ())
         if stack[-1].tag in closes:
-            stack.pop()
+            opened[stack.pop().tag] -= 1
             if tag == "tr" and stack[-1].tag == "tr":
-                stack.pop()
-        if len(stack) > MAX_DEPTH:
-            stack[-1].parts.append("\n")
-            continue
+                opened[stack.pop().tag] -= 1
         node = Node(tag, f"{tag}.{found.get('class', '')}#{found.get('id', '')}")
         stack[-1].parts.append(node)
         if tag not in _VOID and not rest.endswith("/"):
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -107,20 +108,20 @@ def _hash(*parts) -> int:
 
 
 def walk(root: Node, host: str):
-    """Every element of a page from the root down: (node, depth, key of its parent style or 0, its own style).
+    """Every element of a page from the root down: (node, key of its parent style or 0, its own style).
 
     Sets the key of each element: the host, the parent's style, and the place and name in it.
     """
     root.key = _hash(host)
-    stack = [(root, 0, 0)]
+    stack = [(root, 0)]
     while stack:
-        node, depth, parent = stack.pop()
+        node, parent = stack.pop()
         children = node.children()
         style = _hash(node.key, *(c.name for c in children)) if children else 0
-        yield node, depth, parent, style
+        yield node, parent, style
         for place, child in enumerate(children):
             child.key = _hash(style, place, child.name)
-        stack.extend((c, depth + 1, style) for c in reversed(children))
+        stack.extend((c, style) for c in reversed(children))
 
 
 def contents(node: Node) -> list[str]:
@@ -131,57 +132,52 @@ def contents(node: Node) -> list[str]:
 
 
 def _nodes(pages: DataFrame) -> DataFrame:
-    """(key, parent, depth, style, content, n) of each element of each page; content rows have a hash of one content."""
+    """(key, parent, style, content, n) of each element of each page; content rows have a hash of one content."""
 
     def task(batches):
         for batch in batches:
             rows: list[tuple] = []
             for url, text in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                for node, depth, parent, style in walk(parse(text or ""), host_of(url)):
-                    rows.append((node.key, parent, depth, style, None, 1))
+                for node, parent, style in walk(parse(text or ""), host_of(url)):
+                    rows.append((node.key, parent, style, None, 1))
                     counts: dict[int, int] = {}
                     for c in contents(node):
                         h = _hash(c)
                         counts[h] = counts.get(h, 0) + 1
-                    rows.extend((node.key, parent, depth, None, h, n) for h, n in counts.items())
-            columns = list(zip(*rows)) or [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "parent", "depth", "style", "content", "n"])
+                    rows.extend((node.key, parent, None, h, n) for h, n in counts.items())
+            columns = list(zip(*rows)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "parent", "style", "content", "n"])
 
-    return pages.select("url", "html").mapInArrow(task, "key long, parent long, depth int, style long, content long, n int")
+    return pages.select("url", "html").mapInArrow(task, "key long, parent long, style long, content long, n int")
 
 
 def importance(pages: DataFrame, decay: float = DECAY) -> DataFrame:
     """(key, importance) of the elements of all hosts, composite."""
     n = F.col("n").cast("double")
-    sums = _nodes(pages).groupBy("key", "parent", "depth", "style", "content").agg(F.sum(n).alias("n"), F.sum(n * F.log(n)).alias("nlog"))
-    styles = F.col("content").isNull()
-    # entropy of contents over pages: log(N) - sum(n log n)/N; of styles over pages: with one row a page, from the counts
-    entropy = F.when(~styles, F.log("n") - F.col("nlog") / F.col("n"))
-    kept = F.collect_list(F.when(styles & (F.col("style") != 0), F.struct("style", "n")))
-    of = sums.groupBy("key", "parent", "depth").agg(F.sum(F.when(styles, F.col("n"))).alias("m"), F.avg(entropy).alias("h"), kept.alias("styles"), F.sum(F.when(styles & (F.col("style") == 0), F.col("n"))).alias("bare"))
-    of = P.checkpointed(of)
+    sums = P.checkpointed(_nodes(pages).groupBy("key", "parent", "style", "content").agg(F.sum(n).alias("n"), F.sum(n * F.log(n)).alias("nlog")))
+    styles, filled = F.col("content").isNull(), F.col("style") != 0
+    # entropy of contents over pages: log(N) - sum(n log n)/N; of styles over pages the same, with one row a page
+    of = sums.groupBy("key", "parent").agg(
+        F.sum(F.when(styles, F.col("n"))).alias("m"), F.sum(F.when(styles, F.col("n") * F.log("n"))).alias("mlog"), F.count_if(styles & filled).alias("l"),
+        F.avg(F.when(~styles, F.log("n") - F.col("nlog") / F.col("n"))).alias("h"),
+    )
     base = F.log("m")
-    p = lambda s: s["n"] / F.col("m")
-    spread = F.aggregate("styles", F.lit(0.0), lambda a, s: a - p(s) * F.log(p(s))) + F.when(F.col("bare") > 0, -F.col("bare") / F.col("m") * F.log(F.col("bare") / F.col("m"))).otherwise(0.0)
+    spread = (base - F.col("mlog") / F.col("m")) / base
     leaf = 1 - F.coalesce(F.col("h"), F.lit(0.0)) / base
-    own = F.when(F.col("m") <= 1, 1.0).when(F.size("styles") == 0, leaf).otherwise(F.when(F.col("h").isNull(), spread / base).otherwise(F.greatest(spread / base, leaf)))
-    of = of.withColumn("own", own)
-    deepest = of.agg(F.max("depth")).first()[0]
-    done, below = None, None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        level = of.filter(F.col("depth") == depth)
-        if below is None:
-            here = level.select("key", "parent", F.col("own").alias("importance"))
-        else:
-            parts = level.select("key", "m", F.explode("styles").alias("s")).select("key", (F.col("s.n") / F.col("m")).alias("p"), F.col("s.style").alias("parent"))
-            mean = parts.join(below, "parent").groupBy("key").agg(F.sum(F.col("p") * F.col("mean")).alias("inner"))
-            share = F.pow(F.lit(decay), F.size("styles"))
-            here = level.join(mean, "key", "left").select("key", "parent", F.when(F.size("styles") == 0, F.col("own")).otherwise((1 - share) * F.col("own") + share * F.coalesce("inner", F.lit(0.0))).alias("importance"))
-        here = P.checkpointed(here)
-        below = here.groupBy("parent").agg(F.avg("importance").alias("mean"))
-        done = here if done is None else done.union(here)
-    return (done if done is not None else of.select("key", "parent", F.col("own").alias("importance"))).select("key", "importance")
+    own = F.when(F.col("m") <= 1, 1.0).when(F.col("l") == 0, leaf).when(F.col("h").isNull(), spread).otherwise(F.greatest(spread, leaf))
+    share = F.when(F.col("l") == 0, 0.0).otherwise(F.pow(F.lit(decay), "l"))
+    of = P.checkpointed(of.select("key", "parent", "m", ((1 - share) * own).alias("sum"), share.alias("share")))
+    # the weight of an element in the one above: share * (pages with its style / pages) / elements of the style
+    above = sums.filter(styles & filled).select(F.col("style").alias("parent"), F.col("key").alias("up"), "n").join(of.select(F.col("key").alias("up"), "m", "share"), "up")
+    above = above.join(of.groupBy("parent").agg(F.count("*").alias("c")), "parent").select("parent", "up", (F.col("share") * F.col("n") / F.col("m") / F.col("c")).alias("weight"))
+    now = P.checkpointed(of.select("key", "parent", "sum").join(above, "parent", "left").select("key", "sum", "up", "weight"))
+    while not now.filter("up is not null").limit(1).isEmpty():
+        given = now.filter("up is not null").groupBy(F.col("up").alias("key")).agg(F.sum(F.col("weight") * F.col("sum")).alias("more"))
+        further = now.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("weight").alias("times"))
+        now = now.join(given, "key", "left").join(further, "up", "left")
+        now = P.checkpointed(now.select("key", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), F.col("next").alias("up"), (F.col("weight") * F.col("times")).alias("weight")))
+    return now.select("key", F.col("sum").alias("importance"))
 
 
 def text_of(root: Node, host: str, noise) -> tuple[str, int]:
@@ -208,6 +204,13 @@ def text_of(root: Node, host: str, noise) -> tuple[str, int]:
     return "\n".join(line for line in lines if line), removed
 
 
+def _among(keys: list[int], low: np.ndarray) -> set[int]:
+    """The keys that are in a sorted array."""
+    found = np.array(keys, np.int64)
+    at = np.minimum(np.searchsorted(low, found), max(len(low) - 1, 0))
+    return set(found[low[at] == found].tolist()) if len(low) else set()
+
+
 def _extract(batches, noise_of):
     for batch in batches:
         texts, removed = [], []
@@ -216,7 +219,8 @@ def _extract(batches, noise_of):
                 texts.append(None)
                 removed.append(0)
                 continue
-            t, r = text_of(parse(text), host_of(url), noise_of(batch, row))
+            root, host = parse(text), host_of(url)
+            t, r = text_of(root, host, noise_of(batch, row, root, host))
             texts.append(t)
             removed.append(r)
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], ["page_id", "url", "text", "removed"])
@@ -225,16 +229,16 @@ def _extract(batches, noise_of):
 def extracted(pages: DataFrame, threshold: float = THRESHOLD, decay: float = DECAY, most: int = BROADCAST_NODES) -> DataFrame:
     """(page_id, url, text, removed): the text of each page without the branches of low importance.
 
-    ``removed`` counts the branches. A null page gives a null text, an empty one an empty text; pages
-    without a host are one site; a site with a single page loses nothing. Repeated rows count as pages
-    each. Keys of low importance travel to all tasks up to ``most`` of them; beyond that, each page is
-    joined with its own. Other columns are not read; an empty table gives no rows.
+    ``removed`` counts the branches. A null page gives a null text, an empty one an empty text; a page of any length and depth is
+    taken whole; pages without a host are one site; a site with a single page loses nothing; an importance equal to the threshold
+    stays. Repeated rows count as pages each. Keys of low importance travel to all tasks, eight bytes each, up to ``most`` of them;
+    beyond that, each page is joined with its own, with the same result. Other columns are not read; an empty table gives no rows.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     low = P.checkpointed(importance(pages, decay).filter(F.col("importance") < threshold).select("key").distinct())
     if low.count() <= most:
-        noise = P.Shared(pages.sparkSession, frozenset(low.toPandas()["key"].tolist()))
-        return pages.mapInArrow(lambda batches: _extract(batches, lambda batch, row: noise.value), _SCHEMA)
+        noise = P.Shared(pages.sparkSession, np.sort(low.toPandas()["key"].to_numpy().astype(np.int64)))
+        return pages.mapInArrow(lambda batches: _extract(batches, lambda batch, row, root, host: _among([node.key for node, *_ in walk(root, host)], noise.value)), _SCHEMA)
 
     def keys(batches):
         for batch in batches:
@@ -246,4 +250,4 @@ def extracted(pages: DataFrame, threshold: float = THRESHOLD, decay: float = DEC
     of = marked.select("id", "url", "html").mapInArrow(keys, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
     own = of.join(low, "key").groupBy("id").agg(F.collect_set("key").alias("noise"))
     joined = marked.join(own, "id", "left").select("page_id", "url", "html", "noise")
-    return joined.mapInArrow(lambda batches: _extract(batches, lambda batch, row: frozenset(batch.column("noise")[row].as_py() or ())), _SCHEMA)
+    return joined.mapInArrow(lambda batches: _extract(batches, lambda batch, row, root, host: frozenset(batch.column("noise")[row].as_py() or ())), _SCHEMA)

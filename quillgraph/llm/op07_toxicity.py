@@ -221,7 +221,11 @@ def graph(docs: DataFrame, words: np.ndarray, window: int = WINDOW, stems: Stems
     span = -(-v * v // parts)
 
     def emit(held):
-        keys, n = _added(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))
+        keys = np.concatenate(held)
+        held.clear()
+        keys.sort()
+        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        keys, n = keys[heads], np.diff(np.append(heads, len(keys)))
         cut = np.searchsorted(keys, np.arange(parts + 1) * span)
         live = np.flatnonzero(np.diff(cut))
         blobs = [_encoded(keys[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]], int(p) * span) for p in live]
@@ -236,7 +240,6 @@ def graph(docs: DataFrame, words: np.ndarray, window: int = WINDOW, stems: Stems
                 held.append(_pairs(number, rows[at], v, window))
                 if sum(map(len, held)) >= _KEYS:
                     yield emit(held)
-                    held = []
         if held:
             yield emit(held)
 

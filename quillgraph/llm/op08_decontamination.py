@@ -3,14 +3,17 @@
 The words of the training documents, lower-cased and without punctuation, are cut into
 shards of whole documents; each shard gets a suffix array over its words, built by prefix
 doubling where only suffixes that still tie are sorted again. Every suffix of every test
-item is binary-searched in every shard. An interval of suffixes that share at least
-``MIN_WORDS`` words with it gives the locations of its verbatim matches; each is then
+item that is long enough to reach its threshold is binary-searched in every shard: ``MIN_WORDS``
+words, or all words of an item that has fewer. (A shorter suffix is the tail of one that is searched, and
+can't hold a match by itself.) An interval of suffixes that share that many words
+with it gives the locations of its verbatim matches; each is then
 extended word by word to the longest match, which never runs past the end of a document.
 Arrays are sorted to a depth of at least ``MIN_WORDS`` words: deeper order can't change
 which suffixes match, and lengths come from the texts themselves.
 
 Shards are independent, so the work is one pass over the documents without a shuffle. Test
-items travel to all tasks; beyond ``TEST_BYTES`` of text they go in several passes.
+items travel to all tasks, some three bytes for each of their text; beyond ``TEST_BYTES`` of text they go in
+several passes, whose results are the same as those of one.
 """
 
 from __future__ import annotations
@@ -26,24 +29,24 @@ from . import packing as P
 from . import textblock as T
 
 MIN_WORDS = 10
-LEAST_ITEM = 5
-SHARD_BYTES = 4 << 20
-TEST_BYTES = 64 << 20
+SHARD_BYTES = 8 << 20
+TEST_BYTES = 32 << 20
 _SCHEMA = "doc_id long, item_id long, match_words int, doc_word int, item_word int"
 
 
 @dataclass
 class TestSet:
-    """The words of all items, one after the other, and the suffixes that are long enough."""
+    """The words of all items, one after the other; of each item its id, first word, word after the last and
+    threshold; and of each suffix that can reach it its item and first word."""
 
     __test__ = False
     ids: list
     tokens: np.ndarray
-    item: np.ndarray
-    start: np.ndarray
+    first: np.ndarray
     end: np.ndarray
     need: np.ndarray
-    first: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
 
 
 def _hashes(column):
@@ -53,27 +56,18 @@ def _hashes(column):
 
 
 def test_set(ids: list, texts: list, min_words: int = MIN_WORDS) -> TestSet:
-    """Suffixes of the items; an item of fewer than ``min_words`` words must match whole, one of under 5 is ignored."""
-    parts, item, start, end, need, begin = [], [], [], [], [], []
-    at = 0
+    """Suffixes of the items; an item of fewer than ``min_words`` words must match whole; one without words can't."""
+    parts, sizes = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
     for first, last, hashes, rows in _hashes(pa.array(texts, pa.string())):
-        cut = np.searchsorted(rows, np.arange(last - first + 1))
-        for i in range(last - first):
-            words = hashes[cut[i] : cut[i + 1]]
-            n = len(words)
-            if n < LEAST_ITEM:
-                continue
-            m = min(min_words, n)
-            parts.append(words)
-            for k in range(n - m + 1):
-                item.append(first + i)
-                start.append(at + k)
-                end.append(at + n)
-                need.append(m)
-                begin.append(at)
-            at += n
-    tokens = np.concatenate([*parts, np.zeros(min_words, np.uint64)])
-    return TestSet(ids, tokens, *(np.array(x, np.int64) for x in (item, start, end, need, begin)))
+        parts.append(hashes)
+        sizes[first:last] = np.bincount(rows, minlength=last - first)
+    end = np.cumsum(sizes)
+    need = np.minimum(sizes, min_words)
+    count = np.where(sizes > 0, sizes - need + 1, 0)
+    item = np.repeat(np.arange(len(texts), dtype=np.int32), count)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    start = ((end - sizes)[item] + nth).astype(np.int32)
+    return TestSet(ids, np.concatenate([*parts, np.zeros(min_words, np.uint64)]), end - sizes, end, need, item, start)
 
 
 test_set.__test__ = False
@@ -116,10 +110,10 @@ def _starts(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _bound(tokens: np.ndarray, order: np.ndarray, test: TestSet, which: np.ndarray, upper: bool) -> np.ndarray:
     """Where the first ``need`` words of the suffixes would go in the array: before or after those that share them."""
     low, high = np.zeros(len(which), np.int64), np.full(len(which), len(order), np.int64)
-    width = int(test.need.max())
-    span = np.arange(width)
+    need = test.need[test.item[which]]
+    span = np.arange(int(test.need.max()))
     wanted = test.tokens[test.start[which][:, None] + span]
-    beyond = span[None] >= test.need[which][:, None]
+    beyond = span[None] >= need[:, None]
     while (low < high).any():
         middle = (low + high) // 2
         here = tokens[order[np.minimum(middle, len(order) - 1)][:, None] + span]
@@ -156,7 +150,7 @@ def matches(hashes: np.ndarray, rows: np.ndarray, n_rows: int, test: TestSet) ->
         low = _bound(tokens, order, test, which, False)
         at = order[np.minimum(low, len(order) - 1)]
         span = np.arange(width)
-        same = (tokens[at[:, None] + span] == test.tokens[test.start[which][:, None] + span]) | (span[None] >= test.need[which][:, None])
+        same = (tokens[at[:, None] + span] == test.tokens[test.start[which][:, None] + span]) | (span[None] >= test.need[test.item[which]][:, None])
         hit = same.all(1) & (low < len(order))
         which, low = which[hit], low[hit]
         if not len(which):
@@ -165,20 +159,20 @@ def matches(hashes: np.ndarray, rows: np.ndarray, n_rows: int, test: TestSet) ->
         count = high - low
         suffix = np.repeat(which, count)
         position = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-        inner = (test.start[suffix] > test.first[suffix]) & (position > 0)
+        item = test.item[suffix]
+        inner = (test.start[suffix] > test.first[item]) & (position > 0)
         inner[inner] = tokens[position[inner] - 1] == test.tokens[test.start[suffix[inner]] - 1]
         suffix, position = suffix[~inner], position[~inner]  # the others are the tails of longer matches
-        length = test.need[suffix].copy()
+        item, start = test.item[suffix], test.start[suffix].astype(np.int64)
+        length = test.need[item]
         going = np.arange(len(suffix))
         while len(going):
-            s, p = suffix[going], position[going]
-            more = test.start[s] + length[going] < test.end[s]
-            going, s, p = going[more], s[more], p[more]
-            more = tokens[p + length[going]] == test.tokens[test.start[s] + length[going]]
+            going = going[start[going] + length[going] < test.end[item[going]]]
+            more = tokens[position[going] + length[going]] == test.tokens[start[going] + length[going]]
             going = going[more]
             length[going] += 1
         row = np.searchsorted(begin, position, "right") - 1
-        out.append(np.stack([row, test.item[suffix], length, position - begin[row], test.start[suffix] - test.first[suffix]], 1))
+        out.append(np.stack([row, item, length, position - begin[row], start - test.first[item]], 1))
     return np.concatenate(out) if out else none
 
 
@@ -195,7 +189,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
     """(doc_id, item_id, match_words, doc_word, item_word): the longest verbatim match of each document with each item.
 
     Places count words from 0; of equally long matches the first in the document, then in the item,
-    is given. Null and empty texts match nothing; an empty benchmark gives no rows; repeated rows
+    is given. Null and empty texts and items match nothing; an item of fewer than ``min_words`` words, even of one, matches where it
+    stands whole. A text of any length is searched whole. An empty benchmark and an empty table give no rows; repeated rows
     each give theirs; null ids stay null. Other columns are not read.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -222,7 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the rows whose text has a verbatim match; all columns stay as they are."""
+    """``docs`` without the rows whose text has a verbatim match, as in ``contaminated``; all columns stay as they are."""
     for test in _test_sets(benchmark, min_words):
 
         def keep(batches, test=test):

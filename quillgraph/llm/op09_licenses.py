@@ -1,11 +1,11 @@
 """License scans with a positional index of rare words.
 
-A licence is a list of mandatory key phrases. The words of all phrases are counted over all
-documents, and each phrase is indexed under its rarest words (those of the highest inverse
-document frequency; two of them, or one if it has no other): word -> (phrase, place in the
-phrase). A file's occurrences of indexed words are looked up; a phrase is a candidate where its
-two words stand at the right distance; it is then verified word by word. A file has a licence if
-all its phrases are verified. Rarity decides what is looked up first, never what is found.
+A template is a licence's notice, given by its mandatory key phrases. The words of all phrases are counted over all
+documents. Each phrase is posted under its anchors, the words of its highest inverse document frequency (two of them, or one if it has
+no other): word -> (phrase, place in the phrase). Of a file only the anchors that it holds are looked up, each phrase by its rarest
+one first: its common licence words ("the", "is", "license" where that is common) are never looked up. A phrase is a candidate
+where both its anchors stand at the distance that their places say; then it is verified word by word against the file's words there.
+A file has a licence if all phrases of one of its templates are verified. Rarity decides what is looked up, never what is found.
 """
 
 from __future__ import annotations
@@ -47,6 +47,17 @@ LICENSES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-NC-4.0", ("creative commons attribution noncommercial 4 0 international",)),
     ("CC-BY-ND-4.0", ("cc by nd 4 0",)),
     ("CC-BY-NC-SA-4.0", ("cc by nc sa 4 0",)),
+    ("BSD-3-Clause", ("redistribution and use in source and binary forms", "neither the name of", "may be used to endorse or promote products derived from this software without specific prior written permission")),
+    ("Apache-2.0", ("licensed under the apache license version 2 0 the license", "you may not use this file except in compliance with the license")),
+    ("BSL-1.0", ("boost software license version 1 0",)),
+    ("BSL-1.0", ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",)),
+    ("Zlib", ("this software is provided as is without any express or implied warranty", "altered source versions must be plainly marked as such")),
+    ("PostgreSQL", ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",)),
+    ("WTFPL", ("do what the fuck you want to public license",)),
+    ("Artistic-2.0", ("the artistic license 2 0",)),
+    ("EUPL-1.2", ("european union public licence v 1 2",)),
+    ("OFL-1.1", ("sil open font license version 1 1",)),
+    ("CDDL-1.0", ("common development and distribution license", "version 1 0")),
     ("Proprietary", ("all rights reserved",)),
 ]
 _SCHEMA = "doc_id long, license string, first_word int"
@@ -81,34 +92,35 @@ def document_frequency(docs: DataFrame, licenses=LICENSES) -> np.ndarray:
     return P.hashed_totals(docs.select("text"), len(vocabulary), count, 1)
 
 
-def index(frequency: np.ndarray, licenses=LICENSES) -> list[tuple[np.ndarray, list[int]]]:
-    """Of each phrase its word numbers and the places of its rarest words (ties: the earlier place)."""
+def index(frequency: np.ndarray, licenses=LICENSES) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, list[int]]]]:
+    """Anchors by their hashes, sorted; their frequencies; and of each phrase the hashes of its words and the places of its
+    anchors, the rarest first (ties: the earlier place)."""
     vocabulary = _vocabulary(licenses)
-    out = []
+    phrases = []
     for phrase in _phrases(licenses):
-        words = np.searchsorted(vocabulary, np.array([T.hash_bytes(w.encode()) for w in phrase], np.uint64))
-        out.append((words, sorted(range(len(words)), key=lambda k: (frequency[words[k]], k))[:ANCHORS]))
-    return out
-
-
-def found(rows: np.ndarray, at: np.ndarray, word: np.ndarray, phrases) -> dict[int, np.ndarray]:
-    """For each phrase the sorted places, among all words of the block, where it stands within one text."""
+        words = np.array([T.hash_bytes(w.encode()) for w in phrase], np.uint64)
+        rank = frequency[np.searchsorted(vocabulary, words)]
+        phrases.append((words, sorted(range(len(words)), key=lambda k: (rank[k], k))[:ANCHORS]))
+    anchors = np.unique(np.concatenate([words[at] for words, at in phrases]))
+    return anchors, frequency[np.searchsorted(vocabulary, anchors)], phrases
+
+
+def found(hashes: np.ndarray, rows: np.ndarray, at: np.ndarray, anchor: np.ndarray, phrases, anchors: np.ndarray) -> dict[int, np.ndarray]:
+    """For each phrase the sorted places, among all words of the block, where it stands within one text; ``at`` are the places of anchors."""
+    order = np.argsort(anchor, kind="stable")
+    cut = np.searchsorted(anchor[order], np.arange(len(anchors) + 1))
+    places = at[order]
     result = {}
-    postings = [at[word == w] for w in range(int(max(p[0].max() for p in phrases)) + 1)]
-
-    def stands(places: np.ndarray, w: int) -> np.ndarray:
-        have = postings[w]
-        slot = np.minimum(np.searchsorted(have, places), max(len(have) - 1, 0))
-        return have[slot] == places if len(have) else np.zeros(len(places), bool)
-
-    for number, (words, anchors) in enumerate(phrases):
-        start = postings[words[anchors[0]]] - anchors[0]
-        for k in [*anchors[1:], *(k for k in range(len(words)) if k not in anchors)]:
-            start = start[stands(start + k, words[k])]
-            if not len(start):
-                break
+    for number, (words, own) in enumerate(phrases):
+        of = [int(np.searchsorted(anchors, words[k])) for k in own]
+        start = places[cut[of[0]] : cut[of[0] + 1]] - own[0]
+        if len(own) > 1 and len(start):
+            start = np.intersect1d(start, places[cut[of[1]] : cut[of[1] + 1]] - own[1], assume_unique=True)
         start = start[(start >= 0) & (start + len(words) <= len(rows))]
         start = start[rows[start] == rows[start + len(words) - 1]] if len(start) else start
+        for k, word in enumerate(words):
+            if k not in own and len(start):
+                start = start[hashes[start + k] == word]
         result[number] = start
     return result
 
@@ -116,10 +128,10 @@ def found(rows: np.ndarray, at: np.ndarray, word: np.ndarray, phrases) -> dict[i
 def scanned(docs: DataFrame, licenses=LICENSES) -> DataFrame:
     """(doc_id, license, first_word): each licence of each row; the word, from 0, where its first phrase first stands.
 
-    Of several phrase lists of a licence the least place counts. Null and empty texts have none.
-    Repeated rows each give theirs; a null doc_id stays null; other columns are not read.
+    Of several templates of a licence the least place counts, and of a phrase that stands more than once the first. Null and empty texts
+    have none; a text of any length is scanned whole; an empty table gives no rows. Repeated rows each give theirs; a null doc_id
+    stays null; other columns are not read.
     """
-    vocabulary = _vocabulary(licenses)
     names = {" ".join(p): k for k, p in enumerate(_phrases(licenses))}
     lists = [(name, [names[" ".join(p.split())] for p in phrases]) for name, phrases in licenses]
     shared = P.Shared(docs.sparkSession, index(document_frequency(docs, licenses), licenses))
@@ -128,10 +140,12 @@ def scanned(docs: DataFrame, licenses=LICENSES) -> DataFrame:
         for batch in batches:
             for first, last, data, offsets in T.text_blocks(T.lowered(batch.column("text"))):
                 starts, ends, rows = T.words(data, offsets)
-                at, word = _known(T.hash_spans(data, starts, ends), vocabulary)
+                anchors, _, phrases = shared.value
+                hashes = T.hash_spans(data, starts, ends)
+                at, anchor = _known(hashes, anchors)
                 if not len(at):
                     continue
-                places = found(rows, at, word, shared.value)
+                places = found(hashes, rows, at, anchor, phrases, anchors)
                 head = np.searchsorted(rows, np.arange(last - first))
                 best: dict[tuple[int, str], int] = {}
                 for name, numbers in lists:

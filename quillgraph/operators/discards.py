@@ -8,10 +8,13 @@ import re
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import index, storage
+
 LOG = ".discarded.log"
+OLD_LOG = os.path.join(".quillgraph", "discarded.log")
 CAP = 5 << 20
 _ROTATED = re.compile(r"\.discarded\.(\d+)\.log")
 ENTRY = "at string, candidate struct<title:string,body:string,type:string,namespace:string>, decision struct<action:string,target:string,body:string>, reason string, similar array<struct<path:string,hash:string,score:double>>"
@@ -51,19 +54,43 @@ def log_candidate(root: str, candidate: dict, extra: dict, cap: int = CAP) -> No
         file.write(json.dumps({"at": now(), "candidate": candidate, **extra}, ensure_ascii=False) + "\n")
 
 
+def move_old_log(root: str) -> bool:
+    """Append a log from where it once was kept, in the index's folder, to the live one, then remove it; whether there was one."""
+    old = Path(root) / OLD_LOG
+    if not old.exists():
+        return False
+    lines = old.read_text("utf-8", "replace")
+    if lines:
+        if not (Path(root) / LOG).exists():
+            ignore_logs(root)
+        fd = os.open(Path(root) / LOG, os.O_WRONLY | os.O_APPEND | os.O_CREAT | os.O_NOFOLLOW, 0o644)
+        with os.fdopen(fd, "a") as file:
+            file.write(lines if lines.endswith("\n") else lines + "\n")
+    old.unlink()
+    return True
+
+
 def entries_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, malformed lines) of (file, line, value); entries have n = 1 for the newest."""
     read = lines.filter(F.trim("value") != "").withColumn("e", F.from_json("value", ENTRY))
     usable = F.col("e.at").isNotNull() & F.col("e.candidate.title").isNotNull() & F.col("e.candidate.body").isNotNull()
     good = read.filter(usable)
-    newest = Window.orderBy(F.desc("file"), F.desc("line"))  # a log is bounded by its rotation and read to a person
-    return good.select(F.row_number().over(newest).alias("n"), "e.*"), read.filter(~F.coalesce(usable, F.lit(False))).select("file", "line", "value")
+    newest = storage.numbered(good, [F.desc("file"), F.desc("line")], "n")
+    return newest.select("n", "e.*"), read.filter(~F.coalesce(usable, F.lit(False))).select("file", "line", "value")
+
+
+def lines_of(spark: SparkSession, root: str) -> DataFrame:
+    """(file, line, value) of all logs, files by age. Each log, whose size its rotation bounds, is read by one task.
+
+    (Spark's text source passes over names that begin with a dot.)
+    """
+    logs = spark.createDataFrame(list(enumerate(log_files(root))), "file int, path string")
+    return index.files_of(spark, root, logs.repartition("path")).join(F.broadcast(logs), "path").select("file", F.posexplode(F.split("raw", "\n")).alias("line", "value"))
 
 
 def list_discards(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
     """The entries of all logs of a folder, and how many lines couldn't be read."""
-    rows = [(k, i, line) for k, name in enumerate(log_files(root)) for i, line in enumerate((Path(root) / name).read_text("utf-8", "replace").split("\n"))]
-    entries, bad = entries_of(spark.createDataFrame(rows, "file int, line int, value string"))
+    entries, bad = entries_of(lines_of(spark, root))
     return entries, bad.count()
 
 

@@ -73,7 +73,8 @@ def neighbours(edges: DataFrame, notes: DataFrame, hits: DataFrame) -> DataFrame
     The two directions are a union of equi-joins: an OR in EXISTS would be a nested loop.
     """
     known = edges.filter("to_id is not null").select("from_id", "to_id")
-    out = known.join(hits.select(F.col("id").alias("from_id")), "from_id").select(F.col("to_id").alias("id"))
-    into = known.join(hits.select(F.col("id").alias("to_id")), "to_id").select(F.col("from_id").alias("id"))
-    near = out.union(into).distinct().join(hits.select("id"), "id", "left_anti")
+    ids = F.broadcast(hits.select("id"))  # the hits of a search, which its limit bounds
+    out = known.join(ids.select(F.col("id").alias("from_id")), "from_id").select(F.col("to_id").alias("id"))
+    into = known.join(ids.select(F.col("id").alias("to_id")), "to_id").select(F.col("from_id").alias("id"))
+    near = out.union(into).distinct().join(ids, "id", "left_anti")
     return notes.join(near, "id", "left_semi")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ K1, B = 1.2, 0.75
 FLOOR = 1e-6
 DIGITS = 9  # signals are rounded, so that ranks don't depend on the order of sums
 DIMS = 256
+SPREAD = 64
+POSTINGS = "word string, id long, len long, at array<int>"
 _OFFSET, _PRIME = np.uint64(2166136261), np.uint64(16777619)
 
 
@@ -38,98 +43,160 @@ class Options:
 
 def phrases_of(text: str, most: int = 32) -> list[list[str]]:
     """The query's terms as lists of folded words; a term of several words is a phrase."""
-    import re
-    import unicodedata
+    pieces = [p for p in dict.fromkeys(re.split(r"[\s\ufeff]+", text)) if re.search(r"[^\W_]", p)]
+    return [re.findall(r"[^\W_]+", X.fold(p)) for p in pieces[:most]]
 
-    out: list[list[str]] = []
-    for piece in dict.fromkeys(re.split(r"[\s﻿]+", text)):
-        if re.search(r"[^\W_]", piece):
-            plain = "".join(c for c in unicodedata.normalize("NFD", piece.lower()) if not unicodedata.combining(c))
-            out.append(re.findall(r"[^\W_]+", plain))
-    return out[:most]
 
+def posting_rows(notes: DataFrame) -> DataFrame:
+    """(word, id, len, at): of each note (id, title, body) each word, where it stands, and the note's words in all.
 
-def postings(notes: DataFrame) -> DataFrame:
-    """(id, col, pos, word): every word of title and body."""
-    both = notes.select("id", F.posexplode(F.array(F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))).alias("col", "text"))
-    return both.select("id", "col", F.posexplode(X.words_of(F.col("text"))).alias("pos", "word"))
+    Places in the body follow those in the title at a distance that no phrase spans. A note also has a row of the
+    empty word, so that notes without words are counted. Words are grouped within a note, so nothing is shuffled.
+    """
+    words = lambda c: X.words_of(F.coalesce(c, F.lit("")))
 
+    def group(batches):
+        for batch in batches:
+            n = len(batch)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            parts = []
+            for k, name in enumerate(("title", "body")):
+                column = batch.column(name)
+                flat, owner = column.flatten(), pc.list_parent_indices(column).to_numpy()
+                first = np.searchsorted(owner, np.arange(n))
+                parts.append((flat, owner, np.arange(len(owner)) - first[owner] + (k << 30)))
+            coded = pa.chunked_array([f for f, *_ in parts], pa.string()).dictionary_encode().combine_chunks()
+            if isinstance(coded, pa.ChunkedArray):
+                coded = coded.chunk(0)
+            code, owner, at = coded.indices.to_numpy().astype(np.int64), np.concatenate([o for _, o, _ in parts]).astype(np.int64), np.concatenate([p for *_, p in parts])
+            size = np.bincount(owner, minlength=n)
+            key = owner * max(len(coded.dictionary), 1) + code
+            order = np.argsort(key, kind="stable")
+            heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+            found = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32)))
+            rows = owner[order][heads]
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[order][heads])), pa.array(ids[rows]), pa.array(size[rows]), found], ["word", "id", "len", "at"])
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([""] * n, pa.string()), pa.array(ids), pa.array(size), none], ["word", "id", "len", "at"])
+
+    return notes.select("id", words(F.col("title")).alias("title"), words(F.col("body")).alias("body")).mapInArrow(group, POSTINGS)
 
-def lengths(notes: DataFrame) -> DataFrame:
-    """(id, len): words of title and body, without exploding them."""
-    size = F.size(X.words_of(F.coalesce("title", F.lit("")))) + F.size(X.words_of(F.coalesce("body", F.lit(""))))
-    return notes.select("id", size.cast("long").alias("len"))
 
+@dataclass(frozen=True)
+class Keywords:
+    """An inverted index: postings (word, id, len, at) of live notes, and their number and mean length (n, avgdl)."""
 
-def bm25_stats(notes: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, df, n, avgdl, idf) of single-word terms."""
-    hits = term_counts(notes, [[t] for t in terms])
-    total = lengths(notes).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(total).select(F.element_at(F.array(*map(F.lit, terms)), F.col("term") + 1).alias("term"), "df", "n", "avgdl", _idf(F.col("n"), F.col("df")).alias("idf"))
+    postings: DataFrame
+    totals: DataFrame
 
+    @staticmethod
+    def of(notes: DataFrame) -> Keywords:
+        """Made from the notes themselves, which are read anew at each use."""
+        rows = posting_rows(notes)
+        return Keywords(rows, totals_of(rows))
 
-def _idf(n: Column, df: Column) -> Column:
-    idf = F.log((n - df + 0.5) / (df + 0.5))
-    return F.when(idf <= 0, FLOOR).otherwise(idf)
+    def rows(self, words: list[str]) -> DataFrame:
+        """The postings of some words; of stored ones only the row groups that may hold them are read."""
+        return self.postings.filter(F.col("word").isin(words))
 
 
-def term_counts(notes: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(id, len, term, tf): how often each phrase, by number, occurs in a note; overlaps count, columns don't join.
+def totals_of(postings: DataFrame) -> DataFrame:
+    """(n, avgdl) of the notes of postings."""
+    return postings.filter("word = ''").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+
 
-    Words stay arrays in one projection, so nothing is exploded but the few terms that a note has.
+def store_postings(rows: DataFrame, place: str) -> None:
+    """Write postings sorted by word, so that a reader skips the row groups without its words.
+
+    The rows of a word, however many, are spread over ``SPREAD`` tasks by note.
     """
-    first, second = X.words_of(F.coalesce("title", F.lit(""))), X.words_of(F.coalesce("body", F.lit("")))
-    arrays = notes.select("id", first.alias("w0"), second.alias("w1"))
+    spread = F.pmod(F.xxhash64("id"), F.lit(SPREAD))
+    cut = rows.repartition(F.col("word"), spread).sortWithinPartitions("word", "id")
+    cut.write.option("parquet.block.size", 16 << 20).option("parquet.bloom.filter.enabled#word", "true").parquet(place)
+
+
+def bm25_stats(keywords: Keywords, terms: list[str]) -> DataFrame:
+    """(term, df, n, avgdl, idf) of single-word terms."""
+    df = keywords.rows(terms).groupBy(F.col("word").alias("term")).agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(keywords.totals)).select("term", "df", "n", "avgdl", _idf(F.col("n"), F.col("df")).alias("idf"))
 
-    def count(words: Column, phrase: list[str]) -> Column:
-        def here(x: Column, i: Column) -> Column:
-            ok = x == phrase[0]
-            for k, word in enumerate(phrase[1:], 1):
-                ok = ok & F.coalesce(F.get(words, i + k) == word, F.lit(False))
-            return ok
 
-        return F.size(F.filter(words, here if len(phrase) > 1 else lambda x: x == phrase[0]))
+def _idf(n: Column, df: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, FLOOR).otherwise(idf)
 
-    counts = [F.struct(F.lit(k).alias("term"), (count(F.col("w0"), p) + count(F.col("w1"), p)).alias("tf")) for k, p in enumerate(phrases)]
-    sized = arrays.select("id", (F.size("w0") + F.size("w1")).cast("long").alias("len"), F.filter(F.array(*counts), lambda s: s["tf"] > 0).alias("terms"))
-    return sized.select("id", "len", F.explode("terms").alias("t")).select("id", "len", "t.*")
 
+def term_counts(keywords: Keywords, phrases: list[list[str]]) -> DataFrame:
+    """(id, len, term, tf): how often each phrase, by number, occurs in a note; overlaps count, columns don't join.
 
-def bm25(notes: DataFrame, query: str) -> DataFrame:
+    Single words are read off their postings; for phrases the postings of their words meet by note.
+    """
+    single: dict[str, list[int]] = {}
+    for k, phrase in enumerate(phrases):
+        if len(phrase) == 1:
+            single.setdefault(phrase[0], []).append(k)
+    longer = [(k, p) for k, p in enumerate(phrases) if len(p) > 1]
+    found = None
+    if single:
+        terms = F.coalesce(*(F.when(F.col("word") == w, F.array(*map(F.lit, ks))) for w, ks in single.items()))
+        found = keywords.rows(list(single)).select("id", "len", F.explode(terms).alias("term"), F.size("at").alias("tf"))
+    if longer:
+        words = sorted({w for _, p in longer for w in p})
+        held = F.map_from_entries(F.collect_list(F.struct("word", "at")))  # a note has one posting of a word
+        notes = keywords.rows(words).groupBy("id").agg(F.first("len").alias("len"), held.alias("at"))
+
+        def count(phrase: list[str]) -> Column:
+            places = [F.coalesce(F.try_element_at("at", F.lit(w)), F.array().cast("array<int>")) for w in phrase]
+            return F.size(F.filter(places[0], lambda x: reduce(lambda a, b: a & b, (F.array_contains(p, x + k) for k, p in enumerate(places[1:], 1)))))
+
+        counts = F.filter(F.array(*(F.struct(F.lit(k).alias("term"), count(p).alias("tf")) for k, p in longer)), lambda s: s["tf"] > 0)
+        more = notes.select("id", "len", F.explode(counts).alias("t")).select("id", "len", "t.*")
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
+def bm25(keywords: Keywords, query: str) -> DataFrame:
     """(id, score) of the notes that match, the better the lower."""
     phrases = phrases_of(query)
     if not phrases:
-        return notes.select("id", F.lit(0.0).alias("score")).limit(0)
-    hits = term_counts(notes, phrases)
+        return keywords.postings.select("id", F.lit(0.0).alias("score")).limit(0)
+    hits = term_counts(keywords, phrases)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    total = lengths(notes).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    weighed = hits.join(F.broadcast(df.crossJoin(total)), "term")  # at most 32 rows
+    weighed = hits.join(F.broadcast(df.crossJoin(F.broadcast(keywords.totals))), "term")  # at most 32 rows
     f = F.col("tf").cast("double")
     part = _idf(F.col("n"), F.col("df")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return weighed.groupBy("id").agg(F.round(-F.sum(part), DIGITS).alias("score"))
 
 
-def _fnv_buckets(words: np.ndarray, dims: int) -> np.ndarray:
-    codes = np.frombuffer("".join(words).encode("ascii"), np.uint8).astype(np.uint64)
-    size = np.array([len(w) for w in words])
-    begin = np.cumsum(size) - size
-    h = np.full(len(words), _OFFSET)
-    for k in range(int(size.max())):
-        at = np.flatnonzero(size > k)
-        h[at] = ((h[at] ^ codes[begin[at] + k]) * _PRIME) & np.uint64(0xFFFFFFFF)
-    return (h % np.uint64(dims)).astype(np.int64)
-
-
-def bag_of_words(texts: pd.Series, dims: int = DIMS) -> np.ndarray:
-    """Counts of [a-z0-9]+ runs in FNV-1a buckets, a row a text."""
-    found = texts.fillna("").str.lower().str.findall("[a-z0-9]+")
-    rows = np.repeat(np.arange(len(found)), found.str.len())
-    out = np.zeros((len(found), dims))
-    if len(rows):
-        words, number = np.unique(np.concatenate(found.to_numpy()[found.str.len() > 0]), return_inverse=True)
-        np.add.at(out, (rows, _fnv_buckets(words, dims)[number]), 1.0)
-    return out
+_WORD = np.zeros(256, bool)
+_WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
+
+
+def bag_of_words(texts: pa.Array, dims: int = DIMS) -> np.ndarray:
+    """Counts of [a-z0-9]+ runs in FNV-1a buckets, a row a text; all words of the texts are hashed at once, a letter a step."""
+    dotted = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "İ", "i̇")
+    lowered = pc.utf8_lower(dotted)
+    offsets = np.frombuffer(lowered.buffers()[1], np.int64)[lowered.offset : lowered.offset + len(lowered) + 1]
+    out = np.zeros((len(lowered), dims))
+    data = np.frombuffer(lowered.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(lowered) and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    if not len(data):
+        return out
+    cuts = offsets - offsets[0]
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _WORD[data]
+    head = inside[1:-1] & ~inside[:-2]
+    inner = cuts[(cuts > 0) & (cuts < len(data))]
+    head[inner] = inside[1:-1][inner]
+    tail = inside[1:-1] & ~inside[2:]
+    tail[inner - 1] = inside[1:-1][inner - 1]
+    starts, size = np.flatnonzero(head), np.flatnonzero(tail) + 1 - np.flatnonzero(head)
+    h = np.full(len(starts), _OFFSET)
+    going = np.arange(len(starts))
+    for k in range(int(size.max()) if len(size) else 0):
+        going = going[size[going] > k]
+        h[going] = ((h[going] ^ data[starts[going] + k]) * _PRIME) & np.uint64(0xFFFFFFFF)
+    row = np.searchsorted(cuts, starts, "right") - 1
+    return np.bincount(row * dims + (h % np.uint64(dims)).astype(np.int64), minlength=len(out) * dims).reshape(-1, dims).astype(float)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -147,7 +214,17 @@ class LexicalEmbedder:
         self.dims, self.model = dims, f"token-overlap-{dims}"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return bag_of_words(pd.Series(texts, dtype=object), self.dims).tolist()
+        return bag_of_words(pa.array(texts, pa.string()), self.dims).tolist()
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """A matrix as a column of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 512):
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
 
 
 def token_vectors(rows: DataFrame, dims: int = DIMS) -> DataFrame:
@@ -155,11 +232,38 @@ def token_vectors(rows: DataFrame, dims: int = DIMS) -> DataFrame:
 
     def embed(batches):
         for batch in batches:
-            vectors = unit(bag_of_words(batch["text"], dims))
-            some = vectors.any(1)
-            yield pd.DataFrame({"id": batch["id"][some], "emb": list(vectors[some])})
+            for part in _slices(batch):
+                vectors = unit(bag_of_words(part.column("text"), dims))
+                some = vectors.any(1)
+                yield pa.RecordBatch.from_arrays([part.column("id").filter(pa.array(some)), _lists(vectors[some])], ["id", "emb"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(embed, "id long, emb array<double>")
+
+
+def embedded(rows: DataFrame, embedder) -> DataFrame:
+    """(id, emb) of rows (id, text) by an embedder: unit vectors, null for those of zeros.
+
+    The lexical one runs on whole columns. Any other is asked by ``embed(texts)``, once for each batch of a task;
+    a wrong number of vectors or a wrong width ends the pass.
+    """
+    rows = rows.select(F.col("id").cast("long").alias("id"), "text")
+    if isinstance(embedder, LexicalEmbedder):
+        return rows.select("id").join(token_vectors(rows, embedder.dims), "id", "left")
+
+    def ask(batches):
+        for batch in batches:
+            for part in _slices(batch):
+                texts = part.column("text").to_pylist()
+                vectors = embedder.embed(texts)
+                if len(vectors) != len(texts):
+                    raise RuntimeError(f"embedder {embedder.model} gave {len(vectors)} vectors for {len(texts)} texts")
+                wide = next((v for v in vectors if len(v) != embedder.dims), None)
+                if wide is not None:
+                    raise RuntimeError(f"embedder {embedder.model} gave a vector of width {len(wide)}, not {embedder.dims}")
+                made = unit(np.array(vectors, float).reshape(-1, embedder.dims))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([v if any(v) else None for v in made.tolist()], pa.list_(pa.float64()))], ["id", "emb"])
 
-    return rows.select("id", "text").mapInPandas(embed, "id long, emb array<double>")
+    return rows.mapInArrow(ask, "id long, emb array<double>")
 
 
 def cosine_distance(vectors: DataFrame, query: list[float]) -> DataFrame:
@@ -169,10 +273,11 @@ def cosine_distance(vectors: DataFrame, query: list[float]) -> DataFrame:
 
     def distance(batches):
         for batch in batches:
-            m = np.array(batch["emb"].tolist(), float).reshape(len(batch), -1)
-            yield pd.DataFrame({"id": batch["id"], "distance": (1 - unit(m) @ q).round(DIGITS) if len(batch) else np.zeros(0)})
+            if len(batch):
+                m = batch.column("emb").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array((1 - unit(m) @ q).round(DIGITS))], ["id", "distance"])
 
-    return vectors.select("id", "emb").mapInPandas(distance, "id long, distance double")
+    return vectors.select(F.col("id").cast("long").alias("id"), "emb").mapInArrow(distance, "id long, distance double")
 
 
 def ranked(signal: DataFrame, notes: DataFrame, value: str, k: int, ceiling: float | None, allowed: Column | None) -> DataFrame:
@@ -180,7 +285,7 @@ def ranked(signal: DataFrame, notes: DataFrame, value: str, k: int, ceiling: flo
 
     The limit comes first on purpose: a reader whose notes aren't among the best gets fewer hits.
     """
-    best = signal.orderBy(value, "id").limit(k)
+    best = F.broadcast(signal.orderBy(value, "id").limit(k))
     kept = best.join(notes.select("id", "path", "title", "superseded_by"), "id").filter("superseded_by is null")
     if ceiling is not None:
         kept = kept.filter(F.col(value) <= ceiling)
@@ -205,11 +310,11 @@ def fused(vector: DataFrame | None, words: DataFrame | None, n: int) -> DataFram
     return scored.select("id", "path", "title", "score", "vec_rank", "fts_rank").orderBy(F.desc("score"), "path").limit(n)
 
 
-def hybrid(notes: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, options: Options = Options(), allowed: Column | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """Fused hits of notes (id, path, title, body, superseded_by), and with ``expand`` their neighbours after them.
+def hybrid(notes: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, options: Options = Options(), allowed: Column | None = None, edges: DataFrame | None = None, keywords: Keywords | None = None) -> DataFrame:
+    """Fused hits of notes (id, path, title, superseded_by), and with ``expand`` their neighbours after them.
 
     Columns: id, path, title, score, vec_rank, fts_rank, expansion. Neighbours are live, allowed, ordered
-    by path, at most n, and have score 0.
+    by path, at most n, and have score 0. Without ``keywords`` the notes' bodies are read for them.
     """
     if not isinstance(options.n, int) or options.n < 1:
         raise ValueError("n must be a positive integer")
@@ -218,12 +323,13 @@ def hybrid(notes: DataFrame, vectors: DataFrame | None, query: str, query_vector
     if vectors is not None and query_vector is not None and any(query_vector):
         vector = ranked(cosine_distance(vectors, query_vector), notes, "distance", k, options.cutoffs.distance, allowed)
     if phrases_of(query):
-        words = ranked(bm25(notes, query), notes, "score", k, options.cutoffs.bm25, allowed)
+        words = ranked(bm25(keywords or Keywords.of(notes), query), notes, "score", k, options.cutoffs.bm25, allowed)
     if vector is None and words is None:
         return notes.select("id", "path", "title", F.lit(0.0).alias("score"), F.lit(0).alias("vec_rank"), F.lit(0).alias("fts_rank"), F.lit(False).alias("expansion")).limit(0)
     hits = fused(vector, words, options.n).withColumn("expansion", F.lit(False))
     if not options.expand or edges is None:
         return hits
+    hits = notes.sparkSession.createDataFrame(hits.collect(), hits.schema)  # at most n rows, which three branches below use
     near = graph.neighbours(edges, notes, hits).filter("superseded_by is null")
     near = (near if allowed is None else near.filter(allowed)).orderBy("path").limit(options.n)
     return hits.unionByName(near.select("id", "path", "title", F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("vec_rank"), F.lit(None).cast("int").alias("fts_rank"), F.lit(True).alias("expansion")))

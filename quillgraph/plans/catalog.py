@@ -6,17 +6,17 @@ The SQL restates what a query means from the notes view's own columns, not by th
 from __future__ import annotations
 
 import shutil
-import tempfile
 import time
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import notes as N
 from ..functions import text as X
-from ..operators import cluster, discards, graph, index, scope, search
+from ..operators import cluster, discards, graph, index, scope, search, storage
 from ..sources.tables import table
 from ..streaming import changes as stream
 from .notes_view import NOTES_SQL
@@ -106,10 +106,11 @@ def link_targets(spark, folder):
     return view(spark, folder).select("id", X.link_target(F.col("path")).alias("target"))
 
 
-@_query("SELECT doc_id, substr(text, 1, 60) AS target, NOT regexp_matches(substr(text, 1, 60), '[\\[\\]\\r\\n|]') AND substr(text, 1, 60) = regexp_replace(substr(text, 1, 60), '^\\s+|\\s+$', '', 'g') AS writable FROM documents")
+@_query("SELECT doc_id, NOT regexp_matches(text, '[\\[\\]\\r\\n|]') AND text = regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS writable FROM documents UNION ALL SELECT doc_id, text = regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM (SELECT doc_id, regexp_replace(text, '[\\[\\]\\r\\n|]', '', 'g') AS text FROM documents)")
 def writable_targets(spark, folder):
-    head = F.substring("text", 1, 60)
-    return table(spark, folder, "documents").select("doc_id", head.alias("target"), X.is_writable_target(head).alias("writable"))
+    docs = table(spark, folder, "documents")
+    both = docs.select("doc_id", "text").union(docs.select("doc_id", F.regexp_replace("text", r"[\[\]\r\n|]", "")))
+    return both.select("doc_id", X.is_writable_target(F.col("text")).alias("writable"))
 
 
 @_query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}]', '?', 'g') AS safe FROM documents")
@@ -117,11 +118,10 @@ def scrub_control(spark, folder):
     return table(spark, folder, "documents").select("doc_id", X.scrubbed(F.col("text")).alias("safe"))
 
 
-@_query("SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || ' --- end note' || chr(10) || 'x' AS fenced FROM documents")
+@_query("SELECT doc_id, replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), chr(10) || ' --- End ') AS fenced FROM documents")
 def fence_prompt(spark, folder):
-    text = F.concat(F.lit(" "), "text", F.lit("\n--- end note\nx\n"))
-    trimmed = table(spark, folder, "documents").select("doc_id", F.concat(X.trimmed(F.col("text")), F.lit("\n--- end note\nx\n")).alias("text"), text.alias("raw"))
-    return trimmed.select("doc_id", X.fenced(F.col("text")).alias("fenced"))
+    marked = F.replace(X.trimmed(F.col("text")), F.lit("\n"), F.lit("\n--- End "))
+    return table(spark, folder, "documents").select("doc_id", X.fenced(marked).alias("fenced"))
 
 
 @_query(_VIEW + " SELECT id, CASE WHEN NOT malformed THEN 'type: ' || lang || chr(10) || coalesce('superseded_by: \"' || superseded_by || '\"' || chr(10), '') END AS block, CASE WHEN malformed THEN raw ELSE body END AS body, malformed FROM notes")
@@ -176,7 +176,7 @@ def patch_frontmatter(spark, folder):
     return rows.mapInPandas(lambda batches: (b.assign(raw=[edit(r, "checked", "yes") for r in b["raw"]]) for b in batches), "id long, raw string")
 
 
-@_query(_VIEW + " SELECT id, true AS same FROM notes")
+@_query(_LINKS + f" SELECT id, {_TITLE} AS title, CASE WHEN malformed THEN raw ELSE body END AS body, (SELECT count(*) FROM links WHERE from_id = id) AS links, superseded_by FROM notes")
 def serialize_roundtrip(spark, folder):
     parse, serialize = N.parse_note, N.serialize_note
 
@@ -184,10 +184,9 @@ def serialize_roundtrip(spark, folder):
         for b in batches:
             notes = [parse(r, p) for r, p in zip(b["raw"], b["path"])]
             again = [parse(serialize(n.frontmatter, n.body), n.path) for n in notes]
-            b["same"] = [(n.frontmatter, n.body, n.links, n.title) == (a.frontmatter, a.body, a.links, a.title) for n, a in zip(notes, again)]
-            yield b[["id", "same"]]
+            yield b[["id"]].assign(title=[n.title for n in again], body=[n.body for n in again], links=[len(n.links) for n in again], superseded_by=[n.frontmatter.get("superseded_by") for n in again])
 
-    return view(spark, folder).select("id", "path", "raw").mapInPandas(trip, "id long, same boolean")
+    return view(spark, folder).select("id", "path", "raw").mapInPandas(trip, "id long, title string, body string, links long, superseded_by string")
 
 
 @_query(_VIEW + " SELECT id, path FROM notes WHERE superseded_by IS NULL")
@@ -218,9 +217,15 @@ def ambiguous_links(spark, folder):
     return graph.ambiguous(*linked(spark, folder)).withColumn("candidates", F.array_join("candidates", ","))
 
 
-@_query(_VIEW + ", l AS (SELECT id, next_stem AS t FROM notes WHERE id % 3 = 0 AND next_stem IS NOT NULL), e AS (SELECT id AS f, (SELECT min(n.id) FROM notes n WHERE n.slug = t HAVING count(*) = 1) AS to_id FROM l) SELECT path FROM notes n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.f = n.id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.to_id = n.id)")
+@_query("SELECT 'customer/c-' || c_custkey || '.md' AS path FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') UNION ALL SELECT 'order/o-' || o_orderkey || '.md' FROM orders WHERE o_orderstatus <> 'P'")
 def orphans(spark, folder):
-    notes = view(spark, folder).select("id", "path", "slug", F.when((F.col("id") % 3 == 0) & F.col("next_stem").isNotNull(), F.array("next_stem")).otherwise(F.array()).alias("links"))
+    """Customers and orders as notes; an order that is in process links to its customer."""
+    slug = lambda letter, key: F.concat(F.lit(f"{letter}-"), F.col(key))
+    none = F.array().cast("array<string>")
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), slug("c", "c_custkey").alias("slug"), F.lit("customer/").alias("namespace"), none.alias("links"))
+    links = F.when(F.col("o_orderstatus") == "P", F.array(slug("c", "o_custkey"))).otherwise(none)
+    orders = table(spark, folder, "orders").select((-F.col("o_orderkey") - 1).alias("id"), slug("o", "o_orderkey").alias("slug"), F.lit("order/").alias("namespace"), links.alias("links"))
+    notes = customers.unionByName(orders).withColumn("path", F.concat("namespace", "slug", F.lit(".md")))
     return graph.orphans(graph.resolved(graph.edges_of(notes), notes), notes)
 
 
@@ -279,10 +284,13 @@ def purge_deleted(spark, folder):
     return index.purged(indexed, index.difference(files, indexed).filter("status = 'gone'"))
 
 
-@_query("SELECT doc_id, list_aggregate(list_filter(string_split_regex(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')), 'count') AS pieces, doc_id % 1 = 0 AS has_terms FROM documents")
+_PIECES = "list_filter(string_split_regex(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))"
+
+
+@_query(f"SELECT doc_id, len({_PIECES}) AS pieces, least(32, len(list_distinct({_PIECES}))) AS terms, regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS has_terms FROM documents")
 def fts_terms(spark, folder):
     pieces = F.filter(F.split("text", f"{X.BLANK}+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    return table(spark, folder, "documents").select("doc_id", F.size(pieces).cast("long").alias("pieces"), X.match_expression(F.col("text")).isNotNull().alias("has_terms"))
+    return table(spark, folder, "documents").select("doc_id", F.size(pieces).cast("long").alias("pieces"), F.size(X.search_terms(F.col("text"))).cast("long").alias("terms"), X.match_expression(F.col("text")).isNotNull().alias("has_terms"))
 
 
 _TERMS = QUERY.split()
@@ -295,19 +303,47 @@ i AS (SELECT word, df, n, avgdl, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0
 s AS (SELECT f.id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM f JOIN i ON f.word = i.word JOIN l ON f.id = l.id GROUP BY f.id)"""
 
 
-def searchable(spark, folder) -> DataFrame:
-    """Notes for retrieval: title and text, without the made links."""
-    return view(spark, folder).select("id", "path", "namespace", "title", F.col("text").alias("body"), "superseded_by", "slug")
+_HELD: dict[tuple[str, str], str] = {}
+
+
+def build_index(spark, folder) -> str:
+    """Store what searches read: notes, postings, totals, vectors and edges of the notes view, titles and texts without the made links."""
+    place = storage.shared_folder(spark, "catalog")
+    rows = view(spark, folder).select("id", "path", "title", F.col("text").alias("body"), "superseded_by")
+    rows.drop("body").write.parquet(f"{place}/notes")
+    search.store_postings(search.posting_rows(rows), f"{place}/postings")
+    search.totals_of(spark.read.parquet(f"{place}/postings")).write.parquet(f"{place}/totals")
+    vectors(spark, folder).write.parquet(f"{place}/vectors")
+    linked(spark, folder)[0].write.parquet(f"{place}/edges")
+    return place
+
+
+def held(spark, folder) -> Callable[[str], DataFrame]:
+    """The tables of the index over a data folder, which is built when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _HELD:
+        _HELD[key] = build_index(spark, folder)
+    return lambda name: spark.read.parquet(f"{_HELD[key]}/{name}")
+
+
+def keywords(spark, folder) -> search.Keywords:
+    stored = held(spark, folder)
+    return search.Keywords(stored("postings"), stored("totals"))
 
 
 @_query(_WORDS + f" SELECT word AS term, df, n, round(avgdl, {ROUND}) AS avgdl, round(idf, {ROUND}) AS idf FROM i")
 def bm25_stats(spark, folder):
-    return search.bm25_stats(searchable(spark, folder), _TERMS).withColumns({"avgdl": F.round("avgdl", ROUND), "idf": F.round("idf", ROUND)})
+    return search.bm25_stats(keywords(spark, folder), _TERMS).withColumns({"avgdl": F.round("avgdl", ROUND), "idf": F.round("idf", ROUND)})
 
 
 @_query(_WORDS + f" SELECT id, round(score, {ROUND}) AS score FROM s ORDER BY round(score, {ROUND}), id LIMIT 30")
 def bm25_topk(spark, folder):
-    return search.bm25(searchable(spark, folder), QUERY).withColumn("score", F.round("score", ROUND)).orderBy("score", "id").limit(30)
+    return search.bm25(keywords(spark, folder), QUERY).withColumn("score", F.round("score", ROUND)).orderBy("score", "id").limit(30)
+
+
+@_query(_VIEW + ", w AS (SELECT id, unnest(regexp_extract_all(strip_accents(lower(title || ' ' || text)), '[\\p{L}\\p{N}]+')) AS word FROM notes) SELECT word, count(DISTINCT id) AS df, count(*) AS tf FROM w GROUP BY word")
+def keyword_postings(spark, folder):
+    return held(spark, folder)("postings").filter("word <> ''").groupBy("word").agg(F.count("*").alias("df"), F.sum(F.size("at")).alias("tf"))
 
 
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({w}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
@@ -327,7 +363,7 @@ def token_vectors(spark, folder):
     return vectors(spark, folder).select("id", F.posexplode("emb").alias("bucket", "weight")).filter("weight <> 0").withColumn("weight", F.round("weight", ROUND))
 
 
-@_query(f"SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), {ROUND}) AS length, 1.0::DOUBLE AS unit_length FROM embeddings")
+@_query(f"SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), {ROUND}) AS length, round(sqrt(list_sum(list_transform(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))), lambda z: z * z))), {ROUND}) AS unit_length FROM embeddings")
 def l2_normalize(spark, folder):
     def normalize(batches):
         import numpy as np
@@ -347,10 +383,12 @@ def zero_vectors(spark, folder):
     return docs.select("id").join(found, "id", "left").select("id", F.coalesce("some", F.lit(True)).alias("zero"))
 
 
-@_query("SELECT 'token-overlap-256' AS model, false AS stale UNION ALL SELECT 'other', true")
+@_query("SELECT r_name AS region, bool_or(n_nationkey % 2 <> 0 OR length(n_name) > 12) AS stale FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def vectors_stale(spark, folder):
-    meta = table(spark, folder, "documents").select(F.lit("token-overlap-256").alias("model"), F.lit(256).alias("dims"))
-    return spark.createDataFrame([(m, index.vectors_stale(meta, m, 256)) for m in ("token-overlap-256", "other")], "model string, stale boolean")
+    """The vectors of a region's nations, of which those with an odd key are another model's and those with a long name of another width."""
+    meta = table(spark, folder, "nation").select("n_regionkey", F.concat(F.lit("m"), F.col("n_nationkey") % 2).alias("model"), F.greatest(F.length("n_name"), F.lit(12)).alias("dims"))
+    regions = table(spark, folder, "region").select("r_regionkey", "r_name").collect()
+    return spark.createDataFrame([(r["r_name"], index.vectors_stale(meta.filter(F.col("n_regionkey") == r["r_regionkey"]), "m0", 12)) for r in regions], "region string, stale boolean")
 
 
 @_query(f"WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), d AS (SELECT vec_id AS id, round(1 - list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE))), {ROUND}) + 0.0 AS distance FROM embeddings, q) SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank FROM d ORDER BY distance, id LIMIT 30")
@@ -358,7 +396,7 @@ def knn_topk(spark, folder):
     rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
     query = rows.orderBy("id").first()["emb"]
     best = search.cosine_distance(rows, query).withColumn("distance", F.round("distance", ROUND) + F.lit(0.0)).orderBy("distance", "id").limit(30)
-    return scope.newest_first(best.select("id", "distance", (-F.col("distance")).alias("d"), (-F.col("id")).alias("i")), "d", "i").select("id", "distance", F.col("n").cast("long").alias("rank"))
+    return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")).cast("long"))  # 30 rows
 
 
 def _query_vector() -> list[float]:
@@ -387,7 +425,8 @@ def _hits(df: DataFrame) -> DataFrame:
 
 def _hybrid(spark, folder, options=search.Options(), rules=None, edges=None) -> DataFrame:
     allowed = None if rules is None else scope.readable(rules, F.col("path"))
-    return search.hybrid(searchable(spark, folder), vectors(spark, folder), QUERY, _query_vector(), options, allowed, edges)
+    stored = held(spark, folder)
+    return search.hybrid(stored("notes"), stored("vectors"), QUERY, _query_vector(), options, allowed, edges, keywords(spark, folder))
 
 
 @_query(_hybrid_sql() + " SELECT id, path, score, vec_rank, fts_rank FROM h")
@@ -411,7 +450,7 @@ def scoped_search(spark, folder):
 
 @_query(_LINKS + _hybrid_sql().removeprefix(_VIEW) + ", near AS (SELECT to_id AS id FROM edges WHERE from_id IN (SELECT id FROM h) AND to_id IS NOT NULL UNION SELECT from_id FROM edges WHERE to_id IN (SELECT id FROM h)), x AS (SELECT id, path FROM notes WHERE id IN (SELECT id FROM near) AND id NOT IN (SELECT id FROM h) AND superseded_by IS NULL ORDER BY path LIMIT 10) SELECT id, path, score, false AS expansion FROM h UNION ALL SELECT id, path, 0.0, true FROM x")
 def expand_links(spark, folder):
-    edges, _ = linked(spark, folder)
+    edges = held(spark, folder)("edges")
     return _hybrid(spark, folder, search.Options(expand=True), edges=edges).select("id", "path", F.round("score", ROUND).alias("score"), "expansion")
 
 
@@ -449,13 +488,31 @@ def dup_pairs(spark, folder):
     return cluster.pairs(_embedded(spark, folder), CEILING).withColumn("distance", F.round("distance", ROUND))
 
 
-@_query()
+_CLUSTERS = (
+    _PAIRS.rsplit(" SELECT a, b, ", 1)[0].replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", near AS (SELECT a, b, distance, row_number() OVER (ORDER BY distance, a, b) AS k FROM p WHERE distance <= "
+    + f"{CEILING}"
+    + """), close AS (SELECT list(a * 100000000 + b) AS c FROM near), g(k, groups) AS (
+  SELECT 0::BIGINT, list([id]) FROM (SELECT a AS id FROM near UNION SELECT b FROM near)
+  UNION ALL
+  SELECT k + 1, CASE WHEN x <> y AND len(list_filter(flatten(list_transform(x, lambda i: list_transform(y, lambda j: least(i, j) * 100000000 + greatest(i, j)))), lambda v: list_contains(c, v))) = len(x) * len(y)
+         THEN list_append(list_filter(groups, lambda z: z <> x AND z <> y), list_sort(list_concat(x, y))) ELSE groups END
+  FROM (SELECT g.k, g.groups, c, list_filter(groups, lambda z: list_contains(z, near.a))[1] AS x, list_filter(groups, lambda z: list_contains(z, near.b))[1] AS y FROM g JOIN near ON near.k = g.k + 1, close)
+), last AS (SELECT unnest(groups) AS ids FROM g WHERE k = (SELECT max(k) FROM g)),
+m AS (SELECT ids, unnest(ids) AS id FROM last WHERE len(ids) > 1),
+named AS (SELECT ids, 'label' || label || '/' AS namespace, 'label' || label || '/v-' || id || '.md' AS path, id FROM m JOIN embeddings ON vec_id = id),
+clusters AS (SELECT string_agg(path, ',' ORDER BY path) AS members, CASE WHEN count(DISTINCT namespace) = 1 THEN min(namespace) END AS namespace,
+       (SELECT round(max(distance), 6) FROM near WHERE list_contains(named.ids, a) AND list_contains(named.ids, b)) AS distance FROM named GROUP BY ids)"""
+)
+
+
+@_query(_CLUSTERS + " SELECT members, namespace, distance FROM clusters")
 def dup_clusters(spark, folder):
     rows = _embedded(spark, folder)
     return cluster.clusters(rows, rows, CEILING).select(F.array_join("members", ",").alias("members"), "namespace", F.round("distance", ROUND).alias("distance"))
 
 
-@_query()
+@_query(_CLUSTERS + " SELECT members, distance FROM clusters WHERE namespace IS NULL")
 def cross_namespace(spark, folder):
     return dup_clusters(spark, folder).filter("namespace is null").select("members", "distance")
 
@@ -485,50 +542,79 @@ def debounce_sessions(spark, folder):
     return stream.sessions(table(spark, folder, "events"), "user_id", "ts", 3_600_000_000)
 
 
+_FILES = _VIEW + ", files AS (SELECT id, namespace || 'note-' || id || '.md' AS path, raw, malformed, lang, title FROM notes)"
+_FILE_TITLE = "CASE WHEN malformed THEN coalesce(nullif(regexp_extract(raw, '(?m)^#[ \\t]+(.+?)[ \\t]*$', 1), ''), 'note-' || id) ELSE title END"
+
+
 def _notebook(spark, folder) -> str:
-    """The notes view's files of nation names, written to a temporary folder of this machine."""
-    root = tempfile.mkdtemp(prefix="quillgraph-notebook-")
-    for row in table(spark, folder, "nation").collect():
-        place = Path(root) / f"region{row['n_regionkey']}" / f"nation-{row['n_nationkey']}.md"
-        place.parent.mkdir(exist_ok=True)
-        place.write_text(f"---\ntype: nation\n---\n# {row['n_name']}\n\nSee [[nation-{(row['n_nationkey'] + 1) % 25}]].\n")
+    """The notes view's files, and a draft and a hidden one, in a new folder that all executors share; each task writes its own."""
+    root = storage.shared_folder(spark, "notebook")
+    files = view(spark, folder).select(F.concat("namespace", F.lit("note-"), "id", F.lit(".md")).alias("path"), "raw")
+
+    def write(batches):
+        for batch in batches:
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("raw").to_pylist()):
+                place = Path(root) / path
+                place.parent.mkdir(parents=True, exist_ok=True)
+                place.write_bytes(raw.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], ["n"])
+
+    files.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     (Path(root) / "_draft.md").write_text("# Draft\n")
     (Path(root) / ".hidden.md").write_text("no")
     return root
 
 
-_SCAN = "SELECT 'region' || n_regionkey || '/nation-' || n_nationkey || '.md' AS path, n_name AS title FROM nation UNION ALL SELECT '_draft.md', 'Draft'"
+def _kept(rows: DataFrame, *gone: str) -> DataFrame:
+    """The rows from shared storage, once what they were read from is removed."""
+    rows = storage.checkpointed(rows)
+    for place in gone:
+        shutil.rmtree(place, ignore_errors=True)
+    return rows
+
 
+_SCAN = _FILES + f" SELECT path, {_FILE_TITLE} AS title FROM files"
 
-@_query(_SCAN)
+
+@_query(_SCAN + " UNION ALL SELECT '_draft.md', 'Draft'")
 def scan_notes(spark, folder):
-    rows = N.parsed(index.files_of(spark, _notebook(spark, folder))).select("path", "title")
-    return spark.createDataFrame(rows.collect(), rows.schema)
+    root = _notebook(spark, folder)
+    return _kept(N.parsed(index.files_of(spark, root)).select("path", "title"), root)
 
 
-@_query("SELECT 'region' || n_regionkey || '/nation-0.md' AS path, n_name AS title, 'nation' AS type FROM nation WHERE n_nationkey = 0")
+@_query(_FILES + f" SELECT path, {_FILE_TITLE} AS title, CASE WHEN NOT malformed THEN lang END AS type, sha256(raw) AS hash FROM files")
 def get_note(spark, folder):
     root = _notebook(spark, folder)
-    path = next(p for p in index.scan_notebook(root) if p.endswith("/nation-0.md"))
-    note = N.parse_note(index.read_raw(root, path), path)
-    return spark.createDataFrame([(note.path, note.title, note.type)], "path string, title string, type string")
+    read, parse = index.read_raw, N.parse_note
+
+    def get(batches):
+        for b in batches:
+            notes = [parse(read(root, p), p) for p in b["path"]]
+            yield b[["path"]].assign(title=[n.title for n in notes], type=[n.type for n in notes], hash=[n.hash for n in notes])
+
+    paths = spark.createDataFrame([(p,) for p in index.scan_notebook(root) if p != "_draft.md"], "path string").repartition(8)
+    return _kept(paths.mapInPandas(get, "path string, title string, type string, hash string"), root)
 
 
-@_query("SELECT true AS same, 26::BIGINT AS notes, 26::BIGINT AS unchanged")
+@_query(_FILES + " SELECT path, sha256(raw) AS hash, true AS same, 'unchanged' AS status FROM files UNION ALL SELECT '_draft.md', sha256('# Draft' || chr(10)), true, 'unchanged'")
 def rebuild_idempotent(spark, folder):
-    root, store = _notebook(spark, folder), tempfile.mkdtemp(prefix="quillgraph-index-")
-    held = index.Index(spark, store)
-    held.refresh(root)
-    first = sorted(map(str, held.table("notes").drop("id").collect()))
-    unchanged = held.refresh(root).get("unchanged", 0)
-    held.refresh(root, rebuild=True)
-    again = sorted(map(str, held.table("notes").drop("id").collect()))
-    shutil.rmtree(store, ignore_errors=True)
-    return spark.createDataFrame([(first == again, len(again), unchanged)], "same boolean, notes long, unchanged long")
+    """The notes of a rebuilt index, whether the first pass gave the same rows, and how a second pass sees their files."""
+    root, store = _notebook(spark, folder), storage.shared_folder(spark, "index")
+    made = index.Index(spark, store)
+    made.refresh(root)
+    first = storage.checkpointed(made.table("notes").drop("id"))
+    status = storage.checkpointed(index.difference(index.files_of(spark, root).select("path", F.sha2("raw", 256).alias("hash")), first))
+    made.refresh(root, rebuild=True)
+    again = made.table("notes").drop("id")
+    flat = lambda rows, name: rows.select("path", "hash", F.to_json(F.struct(*sorted(rows.columns))).alias(name))
+    rows = flat(again, "now").join(flat(first, "then").drop("hash"), "path", "left").join(status, "path", "left")
+    return _kept(rows.select("path", "hash", F.coalesce(F.col("now") == F.col("then"), F.lit(False)).alias("same"), "status"), root, store)
 
 
 def _streamed(spark, root: str, apply: Callable[[DataFrame], None]) -> None:
-    query = stream.changes(spark, root).writeStream.foreachBatch(lambda batch, _: apply(batch)).start()
+    """Run the change stream over a folder in which, after the first batch, a note goes and another comes."""
+    store = storage.shared_folder(spark, "listings")
+    query = stream.changes(spark, root, store).writeStream.foreachBatch(lambda batch, _: apply(batch)).start()
     try:
         query.processAllAvailable()
         (Path(root) / "_draft.md").unlink()
@@ -537,20 +623,19 @@ def _streamed(spark, root: str, apply: Callable[[DataFrame], None]) -> None:
         query.processAllAvailable()
     finally:
         query.stop()
+        shutil.rmtree(store, ignore_errors=True)
 
 
-@_query("SELECT 'region' || n_regionkey || '/nation-' || n_nationkey || '.md' AS path, 'changed' AS kind FROM nation UNION ALL VALUES ('_draft.md', 'changed'), ('_draft.md', 'gone'), ('late.md', 'changed')")
+@_query(_FILES + " SELECT path, 'changed' AS kind FROM files UNION ALL VALUES ('_draft.md', 'changed'), ('_draft.md', 'gone'), ('late.md', 'changed')")
 def stream_changes(spark, folder):
-    seen: list[tuple[str, str]] = []
-    _streamed(spark, _notebook(spark, folder), lambda batch: seen.extend((r["path"], r["kind"]) for r in batch.collect()))
-    return spark.createDataFrame(seen, "path string, kind string")
+    root, out = _notebook(spark, folder), storage.shared_folder(spark, "changes")
+    _streamed(spark, root, lambda batch: batch.write.mode("append").parquet(out))
+    return _kept(spark.read.schema("path string, kind string").parquet(out), root, out)
 
 
-@_query(_SCAN.replace("SELECT '_draft.md', 'Draft'", "SELECT 'late.md', 'Late'"))
+@_query(_SCAN + " UNION ALL SELECT 'late.md', 'Late'")
 def stream_index(spark, folder):
-    root, store = _notebook(spark, folder), tempfile.mkdtemp(prefix="quillgraph-index-")
-    held = index.Index(spark, store)
-    _streamed(spark, root, lambda batch: None if batch.isEmpty() else held.refresh(root))
-    rows = held.table("notes").select("path", "title").collect()
-    shutil.rmtree(store, ignore_errors=True)
-    return spark.createDataFrame([tuple(r) for r in rows], "path string, title string")
+    root, store = _notebook(spark, folder), storage.shared_folder(spark, "index")
+    made = index.Index(spark, store)
+    _streamed(spark, root, lambda batch: made.refresh(root, paths=[r["path"] for r in batch.select("path").distinct().collect()]) if not batch.isEmpty() else None)
+    return _kept(made.table("notes").select("path", "title"), root, store)

@@ -69,18 +69,81 @@ def test_near_duplicates_recall(documents):
     assert set(group) <= linked and all(group[x] < x for x in group)
 
 
-def test_keys_reach_every_distance_up_to_the_radius():
+@pytest.mark.parametrize("n", [1000, 10**5, 10**6])
+def test_keys_reach_every_distance_up_to_the_radius(n):
     rng = np.random.default_rng(7)
-    for distance in (20, 30, 40, 44, 48, 52, 56, op01_simhash.RADIUS):
-        sigs = rng.integers(0, 2**64, (4000, 4), dtype=np.uint64)
-        flips = np.zeros((4000, op01_simhash.BITS), np.uint8)
-        flips[np.arange(4000)[:, None], rng.random(flips.shape).argpartition(distance, 1)[:, :distance]] = 1
+    how = op01_simhash.plan(n)
+    for distance in (20, 40, 50, 56, op01_simhash.RADIUS):
+        sigs = rng.integers(0, 2**64, (1500, 4), dtype=np.uint64)
+        flips = np.zeros((1500, op01_simhash.BITS), np.uint8)
+        flips[np.arange(1500)[:, None], rng.random(flips.shape).argpartition(distance, 1)[:, :distance]] = 1
         near = sigs ^ np.packbits(flips, axis=1).view(np.uint64)
         assert (np.bitwise_count(sigs ^ near).sum(1) == distance).all()
-        keys = [op01_simhash.band_keys(x, op01_simhash.KEY_BITS, op01_simhash.TABLES) for x in (sigs, near)]
+        keys = [op01_simhash.sample_keys(x, how) for x in (sigs, near)]
         assert (keys[0] == keys[1]).any(1).mean() >= 0.9, distance
 
 
+def test_keys_follow_the_number_of_signatures():
+    for n in (0, 1, 10**4, 10**6, 10**8):
+        how = op01_simhash.plan(n)
+        assert n / 2 ** (how.route + how.own) <= op01_simhash.LOAD and n / 2**how.route <= op01_simhash.ROUTE_ROWS
+
+
+def _force_groups(ids, sigs, radius):
+    parent = dict(zip(ids, ids))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in np.flatnonzero(np.bitwise_count(sigs[i + 1 :] ^ sigs[i]).sum(1) <= radius) + i + 1:
+            a, b = find(ids[i]), find(ids[j])
+            parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in ids if find(x) != x}
+
+
+def test_groups_equal_brute_force_with_hot_routes(frame):
+    rng = random.Random(31)
+    texts = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(80)) for _ in range(25)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    for k in range(400):  # one group holds most rows
+        words = texts[0 if k % 4 else k % 25].split(" ")
+        for i in rng.sample(range(80), rng.randrange(5)):
+            words[i] = rng.choice(WORDS)
+        rows.append((100 + k, " ".join(words)))
+    docs = frame(rows)
+    signed = op01_simhash.signatures(docs).collect()
+    ids, sigs = [r["doc_id"] for r in signed], np.array([np.frombuffer(bytes(r["sig"]), np.uint64) for r in signed])
+    want = _force_groups(ids, sigs, op01_simhash.RADIUS)
+    found = []
+    for hot_rows in (op01_simhash.HOT_ROWS, 40, 7):
+        found.append({r["doc_id"]: r["duplicate_of"] for r in op01_simhash.near_duplicates(docs, hot_rows=hot_rows).collect()})
+    assert found[0] == found[1] == found[2]
+    assert len(found[0]) >= 0.97 * len(want) and found[0].keys() <= want.keys()
+
+
+def test_groups_equal_brute_force_on_documents(documents):
+    signed = op01_simhash.signatures(documents).collect()
+    ids, sigs = [r["doc_id"] for r in signed], np.array([np.frombuffer(bytes(r["sig"]), np.uint64) for r in signed])
+    want = _force_groups(ids, sigs, op01_simhash.RADIUS)
+    got = {r["doc_id"]: r["duplicate_of"] for r in op01_simhash.near_duplicates(documents).collect()}
+    assert len(got.keys() - want.keys()) == 0 and len(got) >= 0.97 * len(want)
+    assert sum(got[k] == want[k] for k in got) >= 0.97 * len(want)
+
+
+def test_large_groups_dont_meet_themselves(spark, frame):
+    how = op01_simhash.plan(100)
+    rng = np.random.default_rng(3)
+    sigs = np.tile(rng.integers(0, 2**64, 4, dtype=np.uint64), (300, 1))
+    sigs[:, 0] ^= np.arange(300, dtype=np.uint64) % 8
+    rows = spark.createDataFrame([(i, 0 if i < 290 else i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "doc_id long, comp long, sig binary")
+    for hot in op01_simhash.hot_routes(rows, how, 64).values():
+        assert hot.large[0][1] > 1 and all(not set(range(hot.large[0][0], sum(hot.large[0]))) & set(hot.partners(b)) for b in range(hot.large[0][0], sum(hot.large[0])))
+    assert {frozenset(r) for r in op01_simhash.similar_edges(rows, how, hot_rows=64).collect()} and op01_simhash.components(op01_simhash.similar_edges(rows, how, hot_rows=64)).count() == 10
+
+
 def test_copies_are_caught_and_others_left(frame):
     rng = random.Random(2)
     texts = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(120)) for _ in range(60)]
@@ -103,6 +166,69 @@ def test_quality_on_held_out_labels(documents, labelled):
     assert np.mean(good) > 0.98 and np.mean(bad) > 0.8
 
 
+def test_navigation_around_prose_gets_mixed_marks(frame, spark):
+    rng = random.Random(23)
+    menu = ["Home", "About us", "Contact", "Terms of use", "Sign in"]
+    rows, truth = [], []
+    for k in range(240):
+        lines = [sentence(rng, rng.randrange(12, 30)) for _ in range(6)]
+        if k % 3 == 0:
+            lines = [" | ".join(rng.sample(menu, 3)).upper() + " $$$ >>>" for _ in range(6)]
+        elif k % 3 == 1:
+            lines[0:0] = rng.sample(menu, 3)
+            lines += rng.sample(menu, 2)
+        rows.append((k, "\n".join(lines)))
+        truth.append((k, int(k % 3 != 0), 0))
+    labels = spark.createDataFrame(truth, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in op02_quality.retained(frame(rows), labels.filter("doc_id % 2 = 0")).collect()}
+    assert set(got) == {k for k in range(240) if k % 3}
+    mixed = [got[k] for k in range(240) if k % 3 == 1]
+    assert np.mean([r["content_lines"] == 6 and r["n_lines"] == 11 and 0 < r["content_share"] < 1 for r in mixed]) > 0.9
+    assert all(got[k]["content_share"] == 1 for k in range(240) if k % 3 == 2)
+
+
+def test_line_labels_equal_brute_force():
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 9, 40)
+    lines = rng.integers(1, 12, lengths.sum()).astype(np.uint64)
+    docs = np.split(lines, np.cumsum(lengths)[:-1])
+    before, after = {}, {}
+    for d in docs:
+        for i, x in enumerate(d.tolist()):
+            before.setdefault(x, set()).add(d[i - 1] if i else None)
+            after.setdefault(x, set()).add(d[i + 1] if i + 1 < len(d) else None)
+    want = [len(before[x]) >= 3 and len(after[x]) >= 3 for x in lines.tolist()]
+    assert op02_quality.repeated(lines, lengths).tolist() == want
+    copies = np.tile(np.array([5, 6, 7], np.uint64), 10)
+    assert not op02_quality.repeated(copies, np.full(10, 3)).any()
+    n = int(lengths.sum())
+    marks = op02_quality.line_labels(rng.integers(0, op02_quality.WIDTH, (n, 5)), lengths, rng.integers(0, 2, 40), rng.random(n) + 1, lines)
+    assert set(np.unique(marks)) <= {0, 1}
+
+
+def test_content_shares_equal_brute_force(documents, labelled):
+    import pyarrow as pa
+
+    field = op02_quality.fitted(documents, labelled)
+    got = {r["doc_id"]: (r["n_lines"], r["content_lines"], r["content_share"]) for r in op02_quality.retained(documents, labelled).collect()}
+    for r in documents.orderBy("doc_id").limit(120).collect():
+        lines = [x for x in re.split(r"[\n\r]", r["text"] or "") if x.strip(" \t")]
+        (_, _, features, _, chars, _), = op02_quality.line_features(pa.array([r["text"]])) if r["text"] else [(0, 0, np.zeros((0, 14), np.int16), 0, np.zeros(0), 0)]
+        assert chars.tolist() == [len(x) for x in lines]
+        emission, best = field.emission(features), {0: (field.start[0], []), 1: (field.start[1], [])}
+        if not lines:
+            assert r["doc_id"] not in got
+            continue
+        best = {y: (field.start[y] + emission[0] * y, [y]) for y in (0, 1)}
+        for e in emission[1:]:
+            best = {y: max(((best[x][0] + field.step[x, y] + e * y, best[x][1] + [y]) for x in (0, 1)), key=lambda b: b[0]) for y in (0, 1)}
+        marks = max(best.values(), key=lambda b: b[0])[1]
+        share = sum(len(x) for x, m in zip(lines, marks) if m) / sum(map(len, lines))
+        assert (r["doc_id"] in got) == (share >= op02_quality.MIN_SHARE)
+        if r["doc_id"] in got:
+            assert got[r["doc_id"]][:2] == (len(lines), sum(marks)) and abs(got[r["doc_id"]][2] - share) < 1e-9
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(4)
     field = op02_quality.Field(np.zeros(op02_quality.WIDTH), rng.normal(size=2), rng.normal(size=(2, 2)))
@@ -147,6 +273,32 @@ def test_line_join_equals_brute_force(frame, num, den):
     assert got == want and len(want) > 50
 
 
+def test_rows_that_share_an_id_keep_each_line(frame):
+    rng = random.Random(3)
+    words = [sentence(rng, 40).split(" ") for _ in range(6)]
+    rows = [(1, " ".join(words[0])), (1, " ".join(words[1])), (1, " ".join(words[2])), (2, " ".join(words[0][:-1])), (3, " ".join(words[1][:-1])), (4, " ".join(words[2][:-1])), (5, " ".join(words[3]))]
+    assert {(r["doc"], r["line"]) for r in op03_linededup.repeated_lines(frame(rows)).collect()} == {(2, 0), (3, 0), (4, 0)}
+
+
+def test_small_bitmaps_and_other_widths_change_nothing(frame, spark, monkeypatch):
+    rng = random.Random(77)
+    pool = [sentence(rng, rng.choice((3, 20, 150))) for _ in range(30)]
+    rows = [(k, "\n".join(" ".join(w for w in rng.choice(pool).split(" ") if rng.random() > 0.03) for _ in range(5))) for k in range(60)]
+    docs = frame(rows)
+    want = sorted(op03_linededup.repeated_lines(docs).collect())
+    real = op03_linededup._marks
+    monkeypatch.setattr(op03_linededup, "_marks", lambda members: real(members, 4))
+    assert sorted(op03_linededup.repeated_lines(docs).collect()) == want
+    monkeypatch.setattr(op03_linededup, "_marks", lambda members: (monkeypatch.setattr(op03_linededup, "LEAST_MARKS", 27), real(members))[1])
+    for width in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        try:
+            assert sorted(op03_linededup.repeated_lines(docs).collect()) == want and len(want) > 20
+            assert op01_simhash.near_duplicates(docs).count() >= 0
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
@@ -196,7 +348,7 @@ def test_importance_equals_brute_force(spark):
     for t in htmls:
         root = op05_html.parse(t)
         by_style = {}
-        for node, _, parent, style in op05_html.walk(root, "h"):
+        for node, parent, style in op05_html.walk(root, "h"):
             n = nodes.setdefault(node.key, {"m": 0, "styles": Counter(), "contents": {}, "parent": parent})
             n["m"] += 1
             n["styles"][style] += 1
@@ -227,6 +379,53 @@ def test_importance_equals_brute_force(spark):
     assert all(abs(got[k] - importance(k)) < 1e-9 for k in nodes)
 
 
+def test_deep_pages_are_judged_at_every_depth(spark):
+    deep = lambda k: "<div class=x>" * 500 + f"<nav>Same menu</nav><p>own text {k} of this page</p>" + "</div>" * 500 + "</b></section><p>after</p>"
+    pages = spark.createDataFrame([(k, "http://h/", deep(k)) for k in range(12)], "page_id long, url string, html string")
+    for r in op05_html.extracted(pages).collect():
+        assert r["text"] == f"own text {r['page_id']} of this page" and r["removed"] == 2
+    root = op05_html.parse(deep(1))
+    depth, node = 0, root
+    while node.children():
+        depth, node = depth + 1, node.children()[0]
+    assert depth == 501 and [c.tag for c in root.children()] == ["div", "p"]
+
+
+def test_extracted_text_equals_brute_force(spark):
+    rng = random.Random(19)
+    body = lambda k: "".join(f"<{t} class=c{rng.randrange(3)}>{rng.choice(('Menu. ', 'Legal. ', f'Story {k} {rng.random()}. '))}</{t}>" for t in rng.choices(("p", "div", "section"), k=6))
+    htmls = [f"<html><body><header>Top bar</header>{body(k)}</body></html>" for k in range(15)]
+    pages = spark.createDataFrame([(k, "http://h/", t) for k, t in enumerate(htmls)] + [(50, "http://h/", None), (51, None, "<p>x")], "page_id long, url string, html string")
+    low = {r["key"] for r in op05_html.importance(pages).collect() if r["importance"] < op05_html.THRESHOLD}
+
+    def text(node):
+        """(text, everything in it is noise)"""
+        parts = [(p, None) if isinstance(p, str) else text(p) for p in node.parts]
+        noise = node.key in low and all(n for _, n in parts if n is not None)
+        return "\n" + "".join("" if n else t for t, n in parts) + "\n", noise
+
+    got = {r["page_id"]: r["text"] for r in op05_html.extracted(pages).collect()}
+    for k, t in enumerate(htmls):
+        root = op05_html.parse(t)
+        list(op05_html.walk(root, "h"))
+        out, noise = text(root)
+        lines = [] if noise else [" ".join(x.split()) for x in out.split("\n")]
+        assert got[k] == "\n".join(x for x in lines if x)
+    assert got[50] is None and got[51] == "x"
+
+
+def test_a_very_long_page_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    long = "<p>" + "word " * 300_000 + "</p>"
+    rows = [(1, "http://a/", long), (1, "http://a/", long), (2, "http://a/", "<p>other</p>"), (None, "http://a/", "<p>other</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wide = pages.withColumns({c: F.lit(1) for c in ("key", "text", "noise", "id", "n", "style", "parent", "removed", "m")})
+    for most in (op05_html.BROADCAST_NODES, -1):
+        got = sorted(map(str, op05_html.extracted(wide, most=most).collect()))
+        assert got == sorted(map(str, op05_html.extracted(pages).collect())) and len(got) == 4
+
+
 def test_code_lengths_equal_the_trees_bit_by_bit():
     trees = op06_language.train({"a": ["abracadabra", "banana"], "b": ["mississippi"]})
     import pyarrow as pa
@@ -304,7 +503,7 @@ def test_toxicity_is_fitted_by_language(frame, spark):
     assert np.mean([f for f, t in held if t]) > 0.9 and np.mean([f for f, t in held if not t]) < 0.05
 
 
-def test_pair_counts_equal_brute_force(frame):
+def test_pair_counts_and_walks_equal_brute_force(frame, monkeypatch):
     rng = random.Random(3)
     rows = [(k, " ".join(rng.choice(WORDS[:12]) for _ in range(30))) for k in range(20)]
     docs = frame(rows)
@@ -327,8 +526,99 @@ def test_pair_counts_equal_brute_force(frame):
         a, b = op07_toxicity._ends(keys, v)
         got |= {frozenset((int(x), int(y))): int(c) for x, y, c in zip(a, b, n)}
         marginal += np.frombuffer(r["marginal"], np.float64)
-    assert got == {k: c for k, c in want.items() if c > 1}
+    assert got == want
     assert marginal.sum() == 2 * sum(want.values())
+    # walks over the dense matrix of weights
+    n = np.zeros((v, v))
+    for pair, c in want.items():
+        a, b = pair
+        n[a, b] = n[b, a] = c
+    rows_ = np.zeros((v, 3))
+    rows_[0, 0] = rows_[3, 1] = 1
+    rows_[:, 2] = 1 / v
+    blocks = op07_toxicity.graph(docs, words, window=op07_toxicity.WINDOW)
+    monkeypatch.setattr(op07_toxicity, "SHIFT", -1.0)  # with so few words only that leaves edges
+    with np.errstate(divide="ignore"):
+        weight = np.maximum(np.log(n * n.sum() / np.outer(n.sum(0), n.sum(0))) + 1, 0)
+    x, degree = op07_toxicity.walk(blocks, v, rows_)
+    assert np.allclose(degree, weight.sum(0), rtol=1e-5) and (degree > 0).all()
+    want_x = rows_.copy()
+    for _ in range(op07_toxicity.STEPS):
+        want_x = op07_toxicity.RESTART * rows_ + (1 - op07_toxicity.RESTART) * weight @ (want_x / degree[:, None])
+    assert np.allclose(x, want_x, atol=1e-6)
+    usual = (degree + degree.mean()) / (degree + degree.mean()).sum()
+    lift = want_x[:, :2] / usual[:, None]
+    assert np.allclose(op07_toxicity.polarities(x[:, :2], degree)[:, 0], np.log2((lift[:, 0] + 0.1) / (lift[:, 1] + 0.1)), atol=1e-4)
+
+
+def test_seed_terms_equal_brute_force():
+    rng = random.Random(41)
+    texts = []
+    for k in range(120):
+        words = [rng.choice(WORDS) + rng.choice(("", "x", "yz")) for _ in range(30)]
+        if k % 4 == 0:
+            words[5:5] = [rng.choice(("grimalo", "grimkeit", "grimung", "fooé", "fooéü")) for _ in range(3)]
+        texts.append((int(k % 4 == 0), " ".join(words)))
+    texts += [texts[0]] * 10  # copies count once
+    got = op07_toxicity.induced(texts)
+    seen, docs = set(), []
+    for y, t in sorted(texts):
+        if (y, t) not in seen:
+            seen.add((y, t))
+            docs.append((y, set(t.split())))
+    count: dict = {}
+    for y, words in docs:
+        terms = {(w, 0) for w in words} | {(w[:k], k) for w in words for k in range(op07_toxicity.STEM_FROM, op07_toxicity.STEM_TO + 1) if len(w) >= k}
+        for t in terms:
+            count.setdefault(t, [0, 0])[y] += 1
+    n = [sum(y == k for y, _ in docs) for k in (0, 1)]
+
+    def ratio(c):
+        if c[1] < op07_toxicity.LEAST_DOCS or c[1] * n[0] <= c[0] * n[1] or c[1] / n[1] < op07_toxicity.LIFT * c[0] / n[0]:
+            return 0
+        total = 0.0
+        for y in (0, 1):
+            for have, of in ((c[y], sum(c)), (n[y] - c[y], sum(n) - sum(c))):
+                total += 2 * have * np.log(have * sum(n) / (of * n[y])) if have else 0
+        return total
+
+    want: list = []
+    for (t, k), r in sorted(((t, ratio(c)) for t, c in count.items()), key=lambda x: (-round(x[1], 6), x[0][1] > 0, -len(x[0][0].encode()), x[0][0])):
+        if r >= op07_toxicity.SURE and not any(t.startswith(o) or o.startswith(t) for o, _ in want):
+            want.append((t, k))
+    assert got == want and {t[:4] for t, _ in want} == {"grim", "fooé"}
+
+
+def test_scores_equal_brute_force(frame, monkeypatch):
+    stems = op07_toxicity.stems_of([("grim", 4), ("gri", 3), ("fooé", 4)])
+    terms = {("grim", 4): 3.0, ("gri", 3): 1.0, ("fooé", 4): 2.0, ("plain", 0): 1.5}
+    order = sorted((op07_toxicity.term_hash(*t), w) for t, w in terms.items())
+    lexicon = op07_toxicity.Lexicon(np.array([h for h, _ in order], np.uint64), np.array([w for _, w in order]), 0.1, 2.0)
+    monkeypatch.setattr(op07_toxicity, "fitted", lambda docs, labels: op07_toxicity.Model(["de"], [lexicon, op07_toxicity.nothing()], stems))
+    texts = ["grimwort griffin plain", "gri grim GRIMM", "Fooéx fooé foo", "plain plain", "", None, "gr fo", "plainly plaine grimaud " * 3]
+    rows = [(k, t, "de", "s") for k, t in enumerate(texts)] + [(50, "grim grim grim", "en", "s"), (None, "grim", "de", "s")]
+    got = {r["doc_id"]: (round(r["score"], 6), r["hits"], r["distinct_words"]) for r in op07_toxicity.toxic(frame(rows), None).collect()}
+    want = {}
+    for i, t, lang, _ in rows:
+        words = re.findall(r"\w+", (t or "").lower())
+        of = []
+        for w in words:
+            stem = next((s for s in (("grim", 4), ("fooé", 4), ("gri", 3)) if w.startswith(s[0])), (w, 0))
+            if stem in terms:
+                of.append(stem)
+        score = sum(terms[s] for s in of) - 0.1 * len(words)
+        if lang == "de" and of and score >= 2.0 - 1e-9:
+            want[i] = (round(score, 6), len(of), len(set(of)))
+    assert got == want and len(want) >= 4
+
+
+def test_toxic_stems_are_found_in_every_language(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = {r["doc_id"] for r in op07_toxicity.toxic(docs, labels.filter("doc_id % 2 = 0")).collect()}
+    held = docs.select("doc_id", "lang").join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    found = lambda y, lang=None: [r["doc_id"] in got for r in held if r["toxic"] == y and lang in (None, r["lang"])]
+    assert np.mean(found(1)) >= 0.9 and np.mean(found(0)) < 0.01
+    assert all(np.mean(found(1, lang)) > 0.7 for lang in ("de", "en", "es", "fr"))
 
 
 def test_suffix_array_is_sorted():
@@ -339,20 +629,22 @@ def test_suffix_array_is_sorted():
     assert order.tolist() == want
 
 
-def test_matches_equal_brute_force(frame, spark):
+def test_matches_equal_brute_force(frame, spark, monkeypatch):
     rng = random.Random(1)
-    items = [sentence(rng, n) for n in (30, 12, 7, 4, 25)]
+    items = [sentence(rng, n) for n in (30, 12, 7, 4, 25, 3)] + ["Zebra!", "", "--"]
     rows = []
     for k in range(40):
         words = text(rng, 3).split()
         if k % 3 == 0:
             item = rng.choice(items).split()
+            if not item:
+                continue
             a = rng.randrange(len(item))
             b = rng.randrange(a, len(item)) + 1
             at = rng.randrange(len(words))
             words[at:at] = [w.upper() for w in item[a:b]]
         rows.append((k, " ".join(words)))
-    rows += [(100, items[0] + " " + items[0]), (101, items[0][:40]), (102, "")]
+    rows += [(100, items[0] + " " + items[0]), (101, items[0][:40]), (102, ""), (103, "a zebra, here"), (104, "ZEBRA"), (105, "zebras")] + [(200 + k, f"Said {t.upper()} and more") for k, t in enumerate(items)]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["match_words"], r["doc_word"], r["item_word"]) for r in op08_decontamination.contaminated(frame(rows), benchmark).collect()}
     want = {}
@@ -360,21 +652,24 @@ def test_matches_equal_brute_force(frame, spark):
         x = re.findall(r"\w+", t.lower())
         for i, item in enumerate(items):
             y = re.findall(r"\w+", item.lower())
-            if len(y) < 5:
-                continue
             best = None
             for p in range(len(x)):
                 for q in range(len(y)):
                     n = 0
                     while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
                         n += 1
-                    if n >= min(10, len(y)) and (best is None or (-n, p, q) < (-best[0], *best[1:])):
+                    if n >= min(10, len(y)) and n and (best is None or (-n, p, q) < (-best[0], *best[1:])):
                         best = (n, p, q)
             if best:
                 want[d, i] = best
     assert got == want and want
+    assert {i for _, i in want} == set(range(7))
     kept = {r["doc_id"] for r in op08_decontamination.decontaminated(frame(rows), benchmark).collect()}
     assert kept == {d for d, _ in rows} - {d for d, _ in want}
+    monkeypatch.setattr(op08_decontamination, "TEST_BYTES", 100)
+    again = op08_decontamination.contaminated(frame(rows), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["match_words"], r["doc_word"], r["item_word"]) for r in again} == want and len(again) == len(want)
+    assert {r["doc_id"] for r in op08_decontamination.decontaminated(frame(rows), benchmark).collect()} == kept
 
 
 def test_licences_equal_brute_force(frame):
@@ -393,17 +688,62 @@ def test_licences_equal_brute_force(frame):
     assert got == {(*k, v) for k, v in want.items()} and len(want) > 40
 
 
+def _secret_spans(texts, ratios, **options):
+    import pyarrow as pa
+
+    (_, _, data, offsets), = T.text_blocks(pa.array(texts))
+    rows, starts, ends, ratio = op10_secrets.scan(data, offsets, ratios, **options)
+    return [(int(r), bytes(data[a:b]).decode(), float(x)) for r, a, b, x in zip(rows, starts, ends, ratio)]
+
+
+def _force_spans(text, ratios, evidence, min_ratio):
+    """The same by plain loops."""
+    code = {chr(c): k + 1 for k, c in enumerate(op10_secrets._ALPHABET)}
+    atoms = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", text)]
+    size = op10_secrets._SIZE
+    score = []
+    for a, b in atoms:
+        c = [0, 0, *(code[x] for x in text[a:b])]
+        score.append(sum(float(ratios[(c[k - 2] * size + c[k - 1]) * size + c[k]]) for k in range(2, len(c))))
+    joined = [k > 0 and atoms[k][0] == atoms[k - 1][1] + 1 and text[atoms[k][0] - 1] in "+/_-" for k in range(len(atoms))]
+    member = [s > 0 or (s > -op10_secrets.BRIDGE and 0 < k < len(score) - 1 and joined[k] and joined[k + 1] and score[k - 1] > 0 and score[k + 1] > 0) for k, s in enumerate(score)]
+    out, k = [], 0
+    while k < len(atoms):
+        if not member[k]:
+            k += 1
+            continue
+        to = k + 1
+        while to < len(atoms) and member[to] and joined[to]:
+            to += 1
+        total, signs = sum(score[k:to]), sum(b - a for a, b in atoms[k:to])
+        if total >= evidence and total >= min_ratio * signs:
+            out.append((text[atoms[k][0] : atoms[to - 1][1]], total / signs))
+        k = to
+    return out
+
+
+def test_secrets_equal_brute_force(documents):
+    texts = [r["text"] or "" for r in documents.orderBy("doc_id").limit(150).collect()]
+    texts += ["key=ab12CD34ef56", "a/b_c-d+e 9f86d081884c7d65/2f-QmX1", "x__y--z", ""]
+    ratios = op10_secrets.train(op10_secrets.labelled_samples(["alpha", "beta", "gamma"], 500))
+    got = _secret_spans(texts, ratios, evidence=3.0, min_ratio=0.1)
+    want = [(k, s, x) for k, t in enumerate(texts) for s, x in _force_spans(t, ratios, 3.0, 0.1)]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and len(want) > 100
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-5)
+
+
 def test_secrets_on_held_out_samples(documents, labelled):
     words = sorted({w for r in documents.limit(300).collect() for w in re.findall(r"[a-z]{2,30}", r["text"])})
     ratios = op10_secrets.train(op10_secrets.labelled_samples(words, seed=1))
-    import pyarrow as pa
-
-    samples = [(t, y) for t, y in op10_secrets.labelled_samples(words, 1500, seed=2) if len(t) >= op10_secrets.MIN_LENGTH and re.search("[A-Za-z]", t)]
-    (_, _, data, offsets), = T.text_blocks(pa.array([f"key = '{t}'" for t, _ in samples]))
-    hit = set(op10_secrets.scan(data, offsets, ratios)[0].tolist())
-    found = np.array([k in hit for k in range(len(samples))])
-    truth = np.array([y for _, y in samples], bool)
-    assert found[truth].mean() > 0.95 and found[~truth].mean() < 0.02
+    rng = random.Random(17)
+    secrets = ["".join(rng.choices(alphabet, k=n)) for n in (12, 16, 24, 40) for alphabet in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(60)]
+    for form in ("{}", "key={}", "aws_secret_access_key={}", "config/default/token/{}", "password: {}", 'token = "{}"', "default_session_token={};"):
+        found = _secret_spans([form.format(x) for x in secrets], ratios)
+        exact = sum(secrets[k] == span for k, span, _ in found)
+        assert exact > 0.9 * len(secrets), (form, exact)
+    ordinary = [t for t, y in op10_secrets.labelled_samples(words, 1500, seed=2) if not y]
+    assert len({k for k, *_ in _secret_spans([f"key = '{t}'" for t in ordinary], ratios)}) < 0.01 * len(ordinary)
+    assert _secret_spans(["12345678901234567890", "call 555-123-4567 on 2024-01-15", "getUserNameById", ""], ratios) == []
     got = {(r["doc_id"], r["start_char"], r["length"]) for r in op10_secrets.secrets(documents, labelled).collect()}
     planted = {(r["doc_id"], m.start(1), 40) for r in documents.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"])}
     assert planted <= got and len(got) <= len(planted) * 1.1

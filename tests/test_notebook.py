@@ -106,7 +106,7 @@ def _decide(notebook, decision):
 def test_create_update_supersede_discard(notebook):
     made = _decide(notebook, {"action": "create"})
     text = Path(notebook.root, made.path).read_text()
-    assert made.path == "notes/acme-renewal.md" and 'vault_agent: "tester"' in text and 'vault_source: "t-1"' in text
+    assert made.path == "notes/acme-renewal.md" and 'note_agent: "tester"' in text and 'note_source: "t-1"' in text
     assert _decide(notebook, {"action": "create"}).path == "notes/acme-renewal-2.md"
     done = _decide(notebook, {"action": "update", "target": "notes/acme.md"})
     text = Path(notebook.root, "notes/acme.md").read_text()
@@ -211,24 +211,154 @@ def test_cli(spark, notebook, capsys):
         cli.main(["consolidate", "--ceiling", "3"], spark, notebook)
 
 
-def test_watch_reindexes(notebook):
-    seen = []
-    query = notebook.watch(seen.append)
+def test_watch_indexes_quiet_paths_only(notebook, monkeypatch):
+    seen, read = [], []
+    watcher = notebook.watch(lambda paths, stats: seen.append((paths, stats)), quiet_ms=200)
     try:
-        Path(notebook.root, "fresh.md").write_text("# Fresh\n")
-        for _ in range(120):
-            if notebook.held.table("notes").filter("path = 'fresh.md'").count():
-                break
-            time.sleep(0.5)
-        query.processAllAvailable()
+        assert watcher.idle(120)
+        seen.clear()
+        real = index.files_of
+        monkeypatch.setattr(index, "files_of", lambda spark, root, paths=None: (read.append(paths), real(spark, root, paths))[1])
+        _write(notebook.root, {"fresh.md": "# Fresh\n"})
+        Path(notebook.root, "lonely.md").unlink()
+        assert watcher.idle(120)
+        assert sorted({p for paths, _ in seen for p in paths}) == ["fresh.md", "lonely.md"]
+        assert read[0] is not None and set(read[0]) <= {"fresh.md", "lonely.md"}
+        assert sum(s.get("new", 0) for _, s in seen) == 1 and sum(s.get("gone", 0) for _, s in seen) == 1
+        seen.clear()
+        for _ in range(3):
+            watcher.touch("fresh.md")
+        watcher.touch(".hidden/x.md")
+        watcher.touch("photo.png")
+        assert watcher.idle(120) and [paths for paths, _ in seen] == [["fresh.md"]]
     finally:
-        query.stop()
-    assert seen and notebook.held.table("notes").filter("path = 'fresh.md'").count() == 1
+        watcher.close()
+    assert {r["path"] for r in notebook.held.table("notes").collect()} >= {"fresh.md"} and not watcher.query.isActive
+
+
+def test_a_failed_pass_is_reported_and_the_watch_goes_on(notebook):
+    errors, seen = [], []
+    watcher = notebook.watch(lambda paths, stats: seen.append(paths), errors.append, quiet_ms=50)
+    apply, watcher._apply = watcher._apply, lambda paths: 1 / 0
+    try:
+        assert watcher.idle(120)
+        watcher.touch("lonely.md")
+        assert watcher.idle(120) and any(isinstance(e, ZeroDivisionError) for e in errors)
+        watcher._apply = apply
+        watcher.touch("lonely.md")
+        assert watcher.idle(120) and seen == [["lonely.md"]]
+    finally:
+        watcher.close()
+
+
+def test_ids_stay_and_passes_read_their_paths(notebook):
+    ids = lambda: {r["path"]: r["id"] for r in notebook.held.table("notes").collect()}
+    before = ids()
+    _write(notebook.root, {"a-first.md": "# First\n", "lonely.md": "# Lonely\nnew text here\n", "notes/globex.md": "# Globex\nunseen\n"})
+    stats = notebook.index_paths(["lonely.md", "a-first.md", "none.md"])
+    assert (stats.get("new"), stats.get("updated"), stats.get("gone")) == (1, 1, None)
+    after = ids()
+    assert all(after[p] == before[p] for p in before) and after["a-first.md"] > max(before.values())
+    found = {r["path"]: r["body"] for r in notebook.held.table("notes").collect()}
+    assert "unseen" not in found["notes/globex.md"] and "new text" in found["lonely.md"]
+    assert [r["path"] for r in notebook.search("new text here", 1).collect()] == ["lonely.md"]
+    Path(notebook.root, "a-first.md").unlink()
+    os.symlink(Path(notebook.root, "lonely.md"), Path(notebook.root, "a-first.md"))
+    assert notebook.index_paths(["a-first.md"])["gone"] == 1 and index.read_raw(notebook.root, "a-first.md") is None
+
+
+def test_segments_are_merged_and_answer_alike(spark, notebook):
+    notebook.held.MERGE = 3
+    for k in range(5):
+        _write(notebook.root, {"lonely.md": f"# Lonely\nword{k} stays\n", f"extra/n{k}.md": f"# Extra {k}\nacme [[lonely]]\n"})
+        if k == 3:
+            Path(notebook.root, "extra/n0.md").unlink()
+        notebook.reindex()
+    manifest = notebook.held._manifest()
+    assert len(manifest["notes"]) <= 4
+    fresh = Notebook(spark, notebook.root, store=notebook.root + "-other")
+    fresh.reindex()
+    for name, columns in (("notes", ["path", "hash", "title"]), ("postings", ["word", "len", "at"])):
+        assert sorted(map(str, notebook.held.table(name).select(columns).collect())) == sorted(map(str, fresh.held.table(name).select(columns).collect()))
+    assert notebook.held.keywords().totals.first() == fresh.held.keywords().totals.first()
+    hits = lambda n: [(r["path"], r["score"]) for r in n.search("word4 acme").collect()]
+    assert hits(notebook) == hits(fresh) and notebook.search("word3").filter("fts_rank is not null").count() == 0
+
+
+class Fixed:
+    model, dims = "fixed", 3
+
+    def embed(self, texts):
+        return [[float(len(t)), 1.0, 0.0] if "Draft" not in t else [0.0, 0.0, 0.0] for t in texts]
+
+
+def test_a_configured_embedder_embeds_the_notes(spark, notebook):
+    other = Notebook(spark, notebook.root, embedder=Fixed(), decider=lambda c, s: {"action": "create"}, cutoffs=search.Cutoffs(distance=0.8))
+    with pytest.raises(ValueError):
+        other.hits("acme", 3, search.Cutoffs(), None)
+    assert other.reindex()["reembedded"] == 1
+    rows = other.held.table("vectors").join(other.held.table("notes").select("id", "title", "body", "path"), "id").collect()
+    for r in rows:
+        made = Fixed().embed([f"{r['title']}\n\n{r['body']}"])[0]
+        size = sum(x * x for x in made) ** 0.5
+        assert (r["emb"] is None) == (size == 0) and (size == 0 or all(abs(a - b / size) < 1e-12 for a, b in zip(r["emb"], made)))
+    assert {r["model"] for r in rows} == {"fixed"} and any(r["emb"] is None for r in rows)
+
+    class Wide(Fixed):
+        model = "wide"
+
+        def embed(self, texts):
+            return [[1.0]] * len(texts)
+
+    class Short(Fixed):
+        model = "short"
+
+        def embed(self, texts):
+            return []
+
+    current = other.held.current
+    for bad in (Wide(), Short()):
+        with pytest.raises(Exception, match="vector"):
+            Notebook(spark, notebook.root, embedder=bad).reindex()
+    assert other.held.current == current and other.search("acme").count() > 0
+
+
+def test_collisions_are_qualified_after_the_pass(notebook, monkeypatch):
+    _write(notebook.root, {"notes/globex.md": "# Globex\nedited, see [[acme]].\n", "other/acme.md": "# Another\n", "other/linker.md": "# Linker\n[[acme]]\n", "other/globex.md": "# Second globex\n"})
+    stats = notebook.reindex()
+    assert stats["qualified"] == [
+        {"stem": "acme", "target": "notes/acme", "rewritten": ["notes/globex.md"], "skipped": ["other/linker.md"]},
+        {"stem": "globex", "target": "notes/globex", "rewritten": ["notes/acme.md"], "skipped": []},
+    ]
+    assert "edited, see [[notes/acme]]" in Path(notebook.root, "notes/globex.md").read_text()
+    assert notebook.reindex()["unchanged"] == 10
+
+
+def test_the_cap_of_rewrites_is_for_each_stem(notebook):
+    _write(notebook.root, {f"l/{k}.md": f"# L{k}\n[[acme]] [[globex]]\n" for k in range(3)})
+    notebook.reindex()
+    before = notebook.held.table("notes").select("path", "slug").collect()
+    _write(notebook.root, {"other/acme.md": "# A\n", "other/globex.md": "# G\n"})
+    notebook.held.refresh(notebook.root)
+    out = notebook._qualify(notebook.spark.createDataFrame(before), cap=2)
+    assert [(q["stem"], len(q["rewritten"]), len(q["skipped"])) for q in out] == [("acme", 2, 2), ("globex", 2, 2)]
+
+
+def test_an_old_log_is_moved(notebook):
+    place = Path(notebook.root, discards.OLD_LOG)
+    place.parent.mkdir(exist_ok=True)
+    place.write_text('{"at": "2020-01-01T00:00:00Z", "candidate": {"title": "old", "body": "b"}}')
+    report = notebook.doctor()
+    assert report["moved_log"] and report["discards"]["entries"] == 1 and not place.exists()
+    assert not notebook.doctor()["moved_log"]
 
 
 def test_the_rest_imports_without_the_llm_folders(tmp_path):
     repo = Path(__file__).resolve().parent.parent
     shutil.copytree(repo / "quillgraph", tmp_path / "quillgraph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    shutil.copytree(repo / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py", "corpus_pipeline.py"):
+        shutil.copy(repo / name, tmp_path)
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-k", "notes or policy or scan_skips", "-p", "no:cacheprovider"], cwd=tmp_path, check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_rrf' in q and not any(k.startswith('op') and k[2].isdigit() for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

