@@ -6,8 +6,9 @@ an element. So an element has a style for each different way in which its pages
 importance of an element is the entropy of its styles over its pages (base: the number of pages; 1
 with one page), or for an element without children 1 less the mean entropy of its contents (the
 sentences of its text, and links and images) over its pages: what is on all pages has importance 0,
-what is on one has 1. (An element with both children and text of its own has the greater of the two.) Composite importance goes bottom-up, (1 - g**l) of an element's own and g**l of
-the weighted mean of its styles, l being their number; a style has the mean of its elements.
+what is on one has 1. An element with both children and text of its own has the greater of the two.
+Composite importance goes bottom-up, (1 - g**l) of an element's own and g**l of the weighted mean of its
+styles, l being their number; a style has the mean of its elements.
 An element is noise if its composite importance and that of all elements below it in the page are
 less than ``THRESHOLD``; the largest such branches are removed, and the text of the rest is extracted.
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 import html
 import re
 
-import numpy as np
 import numpy as np
 import pyarrow as pa
 import xxhash
