@@ -1,12 +1,13 @@
 """Quality rules: a linear-chain conditional random field marks each line as content or boilerplate.
 
 Every non-blank line of a text is described by binary features (binned lengths, shares of
-signs, capitals, digits and repeated words, place in the text). The field is trained on a
+signs, capitals, digits and repeated words, place in the text and share of it). The field is trained on a
 bounded sample of labelled documents (``TRAIN_DOCS``, those with the least hash of doc_id). Labels are of
 documents, so those of lines are inferred: lines of a document labelled bad are boilerplate, and so is, in a good one too, a line that stands
 between different neighbours in ``REPEATS`` documents of the sample at least, as menus and footers do (and the lines of copies don't). A first
-model, without the chain, learns from these; lines of good documents that it takes for boilerplate by ``MARGIN`` nats are relabelled, as long
-as content holds the share that decides; then the field is trained on the sequences of labels.
+model, without the chain, learns from these; lines of good documents that it takes for boilerplate by ``MARGIN`` nats are relabelled, and those that it
+takes for content are content, as long as content holds the share that decides; then the field is trained on the sequences of labels, and
+``ROUNDS`` times more with good documents of the sample that it would reject ``TIMES`` times as heavy, since the label of a document is sure and those of its lines aren't.
 Viterbi decoding labels the lines of every whole text, and a document stays if content
 lines hold at least ``MIN_SHARE`` of the characters of its lines.
 """
@@ -29,6 +30,7 @@ EPOCHS = 120
 PENALTY = 1e-3
 REPEATS = 3
 MARGIN = 2.0
+ROUNDS, TIMES = 2, 4
 _CUT = 256
 
 _BINS = {
@@ -46,6 +48,8 @@ _BINS = {
     "first": (0.5,),
     "last": (0.5,),
     "ends_sentence": (0.5,),
+    "share": (0.02, 0.1, 0.3, 0.5, 0.9),
+    "bulk": (0, 20, 40, 80, 160, 320, 640),
 }
 _SIZES = [len(b) + 1 for b in _BINS.values()]
 _FIRST = np.cumsum([0, *_SIZES[:-1]])
@@ -103,6 +107,7 @@ def line_features(column):
         seen[np.unique(key, return_index=True)[1]] = 0
         new_doc = np.concatenate([[True], rows[1:] != rows[:-1]])
         tail = data[ends - 1]
+        share = chars / np.maximum(np.bincount(rows, weights=chars), 1)[rows]
         values = {
             "characters": chars,
             "capitals": count(classes == 1) / np.maximum(inner, 1),
@@ -118,6 +123,8 @@ def line_features(column):
             "first": new_doc.astype(float),
             "last": np.concatenate([new_doc[1:], [True]]).astype(float),
             "ends_sentence": np.isin(tail, np.frombuffer(b".!?:\"'", np.uint8)).astype(float),
+            "share": share,
+            "bulk": np.where(share > 0.5, chars, -1),
         }
         features = np.stack([np.searchsorted(bins, values[name], "right") + _FIRST[k] for k, (name, bins) in enumerate(_BINS.items())], 1)
         yield first, last, features.astype(np.int16), rows, chars, whole
@@ -260,7 +267,26 @@ def line_labels(features: np.ndarray, lengths: np.ndarray, quality: np.ndarray,
         return labels
     alone = train(features, np.ones(len(labels), np.int64), labels)
     odds = alone.emission(features) + alone.start[1] - alone.start[0]
-    return allowed(np.where(odds < -MARGIN, 0, labels))
+    return allowed(np.where(odds < -MARGIN, 0, np.where(odds > 0, 1, labels)))
+
+
+def settled(features: np.ndarray, lengths: np.ndarray, marks: np.ndarray, quality: np.ndarray, chars: np.ndarray, min_share: float = MIN_SHARE) -> Field:
+    """The field trained on the marks of lines, with the good documents that it would reject weighed up; see the module's text."""
+    field = train(features, lengths, marks)
+    begin = np.cumsum(lengths) - lengths
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    times = np.ones(len(lengths), np.int64)
+    for _ in range(ROUNDS):
+        content = np.bincount(doc, weights=chars * viterbi(field, field.emission(features), lengths), minlength=len(lengths))
+        lost = (quality == 1) & (content < min_share * np.bincount(doc, weights=chars, minlength=len(lengths)))
+        if not lost.any():
+            break
+        times[lost] *= TIMES
+        order = np.repeat(np.arange(len(lengths)), times)
+        size = lengths[order]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin[order], size)
+        field = train(features[at], size, marks[at])
+    return field
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MIN_SHARE) -> Field:
@@ -285,8 +311,8 @@ def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, min
     joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
     features, chars, lines = joined("features", np.int16).reshape(-1, len(_BINS)), joined("chars", np.float64), joined("lines", np.uint64)
     lengths = np.array([len(r["chars"]) // 8 for r in rows], np.int64)
-    marks = line_labels(features, lengths, np.array([r["y"] for r in rows], np.int64), chars, lines, min_share)
-    return train(features, lengths, marks)
+    quality = np.array([r["y"] for r in rows], np.int64)
+    return settled(features, lengths, line_labels(features, lengths, quality, chars, lines, min_share), quality, chars, min_share)
 
 
 def judged(column, field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

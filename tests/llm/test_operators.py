@@ -187,6 +187,25 @@ def test_navigation_around_prose_gets_mixed_marks(frame, spark):
     assert all(got[k]["content_share"] == 1 for k in range(240) if k % 3 == 2)
 
 
+def test_short_documents_like_a_repeated_line_stay(frame, spark):
+    rng = random.Random(41)
+    footer = sentence(rng, 9)
+    rows, truth = [], []
+    for k in range(400):
+        lines = [sentence(rng, rng.randrange(4, 30)) for _ in range(rng.choice((1, 1, 2, 5)))]
+        if k % 4 == 0:
+            lines = ["$$$ >>> ### 12345 " * 3 for _ in range(3)]
+        elif k % 4 == 1:
+            lines = [sentence(rng, 20) for _ in range(3)]
+            lines.insert(rng.randrange(4), footer)
+        rows.append((k, "\n".join(lines)))
+        truth.append((k, int(k % 4 != 0), 0))
+    labels = spark.createDataFrame(truth, "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in op02_quality.retained(frame(rows), labels.filter("(doc_id div 4) % 2 = 0")).collect()}
+    assert not any(k % 4 == 0 for k in kept)
+    assert len(kept) >= 0.99 * 300
+
+
 def test_line_labels_equal_brute_force():
     rng = np.random.default_rng(6)
     lengths = rng.integers(1, 9, 40)
