@@ -167,3 +167,52 @@ def test_clusters(spark):
     assert [(r["members"], r["namespace"]) for r in got] == [(["a/x.md", "a/y.md"], "a/")]
     got = cluster.clusters(rows, rows, 0.05).collect()
     assert [(r["members"], r["namespace"]) for r in got] == [(["a/x.md", "a/y.md", "b/z.md"], None)]
+
+
+def test_postings_are_stored_without_a_shuffle(spark, tmp_path):
+    """Each task's postings stay in its own file, in runs sorted by word that are bounded by words and not by notes."""
+    rows = spark.range(40).repartition(2).select("id", F.concat(F.lit("Doc "), "id").alias("title"), F.lit("b a c a").alias("body"))
+    search.store_postings(search.posting_rows(rows), str(tmp_path / "postings"))
+    assert len(list((tmp_path / "postings").glob("part-*.parquet"))) == 2
+    assert [list(search._runs(np.array(sizes), 5)) for sizes in ([2, 3, 1, 9, 0], [], [0, 0])] == [[(0, 2), (2, 3), (3, 4), (4, 5)], [], [(0, 2)]]
+    import pyarrow.parquet as pq
+
+    for file in (tmp_path / "postings").glob("part-*.parquet"):
+        words = pq.read_table(file).column("word").to_pylist()
+        assert words == sorted(words) and words.count("a") == words.count("")
+
+
+def test_texts_of_the_view_travel_once_at_most(spark, tmp_path):
+    """Neighbours are joined by keys; postings and vectors need none, unless ids repeat."""
+    from quillgraph.plans import catalog
+
+    rows = [(k, f"text {k}", "en", "s") for k in (1, 2, 3, 5)]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/once/documents.parquet")
+    spark.createDataFrame([*rows, (2, "again", "en", "s"), (None, None, "de", "s")], schema).write.parquet(f"{tmp_path}/twice/documents.parquet")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        above = plan(catalog.view(spark, f"{tmp_path}/once").select("raw")).split("\n")
+        text = [line for line in above if "FileScan" in line and "text#" in line.split("]")[0]]
+        assert len(text) == 1
+        at = above.index(text[0])
+        depth = above[at].index("FileScan")
+        over = []
+        for line in reversed(above[:at]):
+            here = next(k for k, c in enumerate(line) if c not in " :+-|")
+            if here < depth:
+                over.append(line)
+                depth = here
+        assert sum("Exchange" in line for line in over) == 1
+        assert "Exchange" not in plan(catalog.texts(spark, f"{tmp_path}/once"))
+        for name in ("once", "twice"):
+            documents = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+            same = spark.sql(catalog.NOTES_SQL, documents=documents)
+            assert sorted(map(str, catalog.view(spark, f"{tmp_path}/{name}").collect())) == sorted(map(str, same.collect()))
+            assert sorted(map(str, catalog.texts(spark, f"{tmp_path}/{name}").collect())) == sorted(map(str, same.select("id", "title", "text").collect()))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
