@@ -6,7 +6,9 @@ import hashlib
 import json
 import posixpath
 import re
+from copy import deepcopy
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import yaml
@@ -73,8 +75,7 @@ def within_budget(value, budget: int = NODE_BUDGET) -> bool:
     return True
 
 
-def usable_frontmatter(block: str) -> dict | None:
-    """The mapping that a block holds; {} if blank, None if it isn't one or too large."""
+def _usable(block: str) -> dict | None:
     if not block.strip(_EDGES):
         return {}
     try:
@@ -84,6 +85,16 @@ def usable_frontmatter(block: str) -> dict | None:
     return value if isinstance(value, dict) and within_budget(value) else None
 
 
+@lru_cache(4096)
+def _usable_once(block: str) -> dict | None:
+    return _usable(block)
+
+
+def usable_frontmatter(block: str) -> dict | None:
+    """The mapping that a block holds; {} if blank, None if it isn't one or too large. Short blocks, which repeat over notes, are read once."""
+    return deepcopy(_usable_once(block)) if len(block) <= 512 else _usable(block)
+
+
 def split_frontmatter(text: str) -> tuple[str | None, str, bool]:
     """(block or None, body, unterminated) of a text without marks of byte order and carriage returns."""
     if not text.startswith("---\n"):
@@ -138,22 +149,15 @@ def frontmatter_block(raw: str) -> tuple[int, int, int] | None:
     return opening.end(), close.start(), close.end()
 
 
-def patch_frontmatter(raw: str, key: str, value: str | None) -> str:
-    """The file with a top-level key set (every line of it), or unset with None; all other bytes stay."""
+def _key_line(key: str, value: str | None) -> str | None:
     if not re.fullmatch(r"[A-Za-z0-9_-]+", key):
         raise ValueError(f"not a front matter key: {key!r}")
-    newline = "\r\n" if "\r\n" in raw else "\n"
-    line = None if value is None else f"{key}: {value if _STAMP.match(value) else json.dumps(value, ensure_ascii=False)}"
-    place = frontmatter_block(raw)
-    if place is None:
-        if line is None:
-            return raw
-        bom = "﻿" if raw.startswith("﻿") else ""
-        return f"{bom}---{newline}{line}{newline}---{newline}{raw[len(bom):]}"
-    start, end, _ = place
-    lines = raw[start:end].splitlines(keepends=True)
+    return None if value is None else f"{key}: {value if _STAMP.match(value) else json.dumps(value, ensure_ascii=False)}"
+
+
+def _patched_block(block: str, key: str, line: str | None, newline: str) -> str:
     out, done, skipping = [], False, False
-    for old in lines:
+    for old in block.splitlines(keepends=True):
         if skipping and (old[:1] in " \t" or not old.strip()):
             continue
         skipping = False
@@ -166,7 +170,21 @@ def patch_frontmatter(raw: str, key: str, value: str | None) -> str:
         out.append(old)
     if not done and line is not None:
         out.append(line + newline)
-    return raw[:start] + "".join(out) + raw[end:]
+    return "".join(out)
+
+
+def patch_frontmatter(raw: str, key: str, value: str | None) -> str:
+    """The file with a top-level key set (every line of it), or unset with None; all other bytes stay."""
+    line = _key_line(key, value)
+    newline = "\r\n" if "\r\n" in raw else "\n"
+    place = frontmatter_block(raw)
+    if place is None:
+        if line is None:
+            return raw
+        bom = "\ufeff" if raw.startswith("\ufeff") else ""
+        return f"{bom}---{newline}{line}{newline}---{newline}{raw[len(bom):]}"
+    start, end, _ = place
+    return raw[:start] + _patched_block(raw[start:end], key, line, newline) + raw[end:]
 
 
 def replace_body(raw: str, body: str) -> str:
@@ -207,8 +225,41 @@ def split(raw: Column) -> tuple[Column, Column, Column]:
     return F.when(closed, F.regexp_extract(text, pattern, 1)), F.when(closed, F.regexp_extract(text, pattern, 2)).otherwise(text), opened & ~closed
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """Notes of files (path, raw): path, slug, title, type, frontmatter (JSON), body, links, hash, superseded_by, malformed.
+_PLACES = r"(?s)\A(\x{FEFF}?---\r?\n)(.*?)((?<=\n)---[ \t]*(?:\r?\n|\r?\z))(.*)\z"
+
+
+def _place(raw: Column, part: int) -> Column:
+    """Of ``frontmatter_block``, as an expression: 1 what is before the block, 2 the block, 3 the line that closes it, 4 the body; null without a block."""
+    return F.when(raw.rlike(_PLACES), F.regexp_extract(raw, _PLACES, part))
+
+
+def frontmatter_patched(raw: Column, key: str, value: str | None) -> Column:
+    """``patch_frontmatter`` of a column. Only the blocks go through Python."""
+    line = _key_line(key, value)
+
+    @F.pandas_udf("string")
+    def patch(blocks: pd.Series, newlines: pd.Series) -> pd.Series:
+        usable = lambda b: b is not None and usable_frontmatter(b.replace("\r\n", "\n")) is not None
+        return pd.Series([_patched_block(b, key, line, n) if usable(b) else None for b, n in zip(blocks, newlines)], dtype=object)
+
+    newline = F.when(raw.contains("\r\n"), "\r\n").otherwise("\n")
+    patched = patch(_place(raw, 2), newline)
+    bare = raw
+    if line is not None:
+        bom = F.when(raw.startswith("\ufeff"), "\ufeff").otherwise("")
+        bare = F.concat(bom, F.lit("---"), newline, F.lit(line), newline, F.lit("---"), newline, F.regexp_replace(raw, r"\A\x{FEFF}", ""))
+    return F.when(patched.isNotNull(), F.concat(_place(raw, 1), patched, _place(raw, 3), _place(raw, 4))).otherwise(bare)
+
+
+def body_replaced(raw: Column, body: Column) -> Column:
+    """``replace_body`` of a column. Only the blocks go through Python."""
+    block = _place(raw, 2)
+    usable = read_block(F.replace(block, F.lit("\r\n"), F.lit("\n")))["usable"]
+    return F.when(usable, F.concat(_place(raw, 1), block, _place(raw, 3), body)).otherwise(body)
+
+
+def parsed(files: DataFrame, *kept: str) -> DataFrame:
+    """Notes of files (path, raw): path, slug, title, type, frontmatter (JSON), body, links, hash, superseded_by, malformed, and columns of the files that are kept.
 
     Everything but YAML is an expression; only the blocks go through Python.
     """
@@ -216,7 +267,7 @@ def parsed(files: DataFrame) -> DataFrame:
     read = files.select("*", block.alias("block"), body.alias("split_body"), open_ended.alias("open_ended")).withColumn("read", read_block("block"))
     bad = F.col("open_ended") | (F.col("block").isNotNull() & ~F.col("read.usable"))
     front = F.when(bad | F.col("block").isNull(), F.lit("{}")).otherwise(F.col("read.frontmatter"))
-    notes = read.select("path", "raw", front.alias("frontmatter"), F.when(bad, _text(F.col("raw"))).otherwise(F.col("split_body")).alias("body"), bad.alias("bad"))
+    notes = read.select(*kept, "path", "raw", front.alias("frontmatter"), F.when(bad, _text(F.col("raw"))).otherwise(F.col("split_body")).alias("body"), bad.alias("bad"))
     value = F.try_parse_json("frontmatter")
     kind = lambda key: F.schema_of_variant(F.try_variant_get(value, f"$.{key}", "variant"))
     text = lambda key: F.when(kind(key) == "STRING", F.try_variant_get(value, f"$.{key}", "string"))
@@ -224,5 +275,5 @@ def parsed(files: DataFrame) -> DataFrame:
     title = F.when(X.trimmed(text("title")) != "", text("title"))
     return notes.select(
         "path", X.slug_of(F.col("path")).alias("slug"), F.coalesce(title, X.heading_of(F.col("body")), X.slug_of(F.col("path"))).alias("title"), text("type").alias("type"), "frontmatter", "body",
-        X.links_of(F.col("body")).alias("links"), F.sha2("raw", 256).alias("hash"), text("superseded_by").alias("superseded_by"), (F.col("bad") | odd("title") | odd("type")).alias("malformed"),
+        X.links_of(F.col("body")).alias("links"), F.sha2("raw", 256).alias("hash"), text("superseded_by").alias("superseded_by"), (F.col("bad") | odd("title") | odd("type")).alias("malformed"), *kept,
     )

@@ -82,3 +82,37 @@ def test_scalars(spark):
     assert query('a"b') == '"a""b"' and query("  ***  ") is None
     assert one.select(X.words_of(F.lit("Café snake_case INV-2031 日本語"))).first()[0] == ["cafe", "snake", "case", "inv", "2031", "日本語"]
     assert one.select(X.fenced(F.lit(" a\n--- END note\n"))).first()[0] == "a\n --- END note"
+
+
+EDIT_CASES = [*PARSER_CASES.values(), "---\nchecked: old\n  more\n\ntype: x\n---\nb", "---\r\nchecked: 1\r\n---\r\nb\r\n", "---\na: 1\n---", "---\na: 1\n---\t \r\n---\nb", "\ufeff# Head\r\nx", "---\na: é\nb: [1, '2']\n---\n---\nc: d\n---\n", "x" * 70000 + "\n---\n"]
+
+
+def test_edits_of_columns_equal_those_of_texts(spark):
+    """Patches and replaced bodies are expressions; texts don't go through Python."""
+    rows = spark.createDataFrame(list(enumerate(EDIT_CASES)), "id long, raw string")
+    edits = {
+        "set": (N.frontmatter_patched(F.col("raw"), "checked", "yes"), lambda r: N.patch_frontmatter(r, "checked", "yes")),
+        "unset": (N.frontmatter_patched(F.col("raw"), "checked", None), lambda r: N.patch_frontmatter(r, "checked", None)),
+        "body": (N.body_replaced(F.col("raw"), F.lit("new")), lambda r: N.replace_body(r, "new")),
+    }
+    got = rows.select("id", *(c.alias(k) for k, (c, _) in edits.items())).collect()
+    for row in got:
+        for k, (_, plain) in edits.items():
+            assert row[k] == plain(EDIT_CASES[row["id"]]), (k, EDIT_CASES[row["id"]])
+    with pytest.raises(ValueError):
+        N.frontmatter_patched(F.col("raw"), "a b", "x")
+
+
+def test_edits_and_round_trips_hold_few_texts(spark):
+    """Only blocks go through Python, or texts in short slices."""
+    from quillgraph.plans import catalog
+
+    for name, way in (("patch_frontmatter", "ArrowEvalPython"), ("replace_body", "ArrowEvalPython"), ("serialize_roundtrip", "MapInArrow")):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" not in plan and way in plan, name
+
+
+def test_mappings_of_equal_blocks_are_separate():
+    one = N.usable_frontmatter("a: [1]\n")
+    one["a"].append(2)
+    assert N.usable_frontmatter("a: [1]\n") == {"a": [1]}
