@@ -362,3 +362,51 @@ def test_the_rest_imports_without_the_llm_folders(tmp_path):
     subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-k", "notes or policy or scan_skips", "-p", "no:cacheprovider"], cwd=tmp_path, check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_rrf' in q and not any(k.startswith('op') and k[2].isdigit() for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_checkpoints_compute_once(spark, tmp_path):
+    """An eager checkpoint by itself computes its rows twice, so that all notes would be read and parsed twice."""
+    from quillgraph.operators import storage
+
+    place = str(tmp_path)
+
+    def mark(batches):
+        import uuid
+
+        for batch in batches:
+            Path(place, uuid.uuid4().hex).write_text("")
+            yield batch
+
+    assert storage.checkpointed(spark.range(4, numPartitions=2).mapInArrow(mark, "id long")).count() == 4
+    assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_folders_are_listed_and_removed_whole(spark, tmp_path):
+    from quillgraph.operators import storage
+
+    for path in ("a/b/1.md", "a/c/2.md", "d.md", "a/.h/3.md"):
+        (tmp_path / "n" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "n" / path).write_text("x")
+    (tmp_path / "n" / "link.md").symlink_to(tmp_path / "n" / "d.md")
+    assert index.scan_notebook(str(tmp_path / "n")) == ["a/b/1.md", "a/c/2.md", "d.md"]
+    storage.removed(spark, str(tmp_path / "n"))
+    assert not (tmp_path / "n").exists()
+
+
+def test_tasks_that_read_notes_grow_with_their_number(spark):
+    """By tasks of 64 files 51,282 notes made 802 tasks; by the bytes of their paths a few would read all."""
+    assert [index.tasks_of(n) for n in (0, 63, 64, 51_282, 4_096_000)] == [1, 1, 2, 64, 1001]
+    assert index.path_rows(spark, []).count() == 0
+    rows = index.path_rows(spark, [f"{k}.md" for k in range(200)])
+    assert rows.rdd.getNumPartitions() == 4 and rows.count() == 200
+
+
+def test_changes_come_in_batches(tmp_path):
+    from quillgraph.streaming import changes as stream
+
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "a.md").write_text("x")
+    reader = stream._Reader(str(tmp_path / "n"), str(tmp_path / "s"))
+    rows, end = reader.read({"version": 0})
+    assert [b.to_pylist() for b in rows] == [[{"path": "a.md", "kind": "changed"}]]
+    assert list(reader.read(end)[0]) == [] and reader.read(end)[1] == end
