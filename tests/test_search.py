@@ -216,3 +216,32 @@ def test_texts_of_the_view_travel_once_at_most(spark, tmp_path):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def test_groups_of_arrays_equal_those_of_tuples():
+    rng = np.random.default_rng(3)
+    for n, share in ((12, 0.5), (30, 0.8), (40, 0.2), (2, 1.0)):
+        i, j = np.triu_indices(n, 1)
+        some = rng.random(len(i)) < share
+        some[0] = True
+        ids = np.sort(rng.choice(1000, n, replace=False)).astype(np.int64)
+        a, b, d = ids[i[some]], ids[j[some]], rng.integers(0, 6, some.sum()) / 10
+        a, b, d = np.append(a, a[:3]), np.append(b, b[:3]), np.append(d, d[:3] + 0.05)  # repeated ids give a pair twice
+        want = cluster.link_completely(sorted({*a.tolist(), *b.tolist()}), list(zip(d.tolist(), a.tolist(), b.tolist())))
+        got = {}
+        for c, k, far in zip(*(x.tolist() for x in cluster.linked_groups(a, b, d))):
+            got.setdefault((c, far), []).append(k)
+        inside = lambda g: max(v for v, p, q in zip(d, a, b) if p in g and q in g)
+        assert sorted(got.items()) == sorted(((g[0], inside(g)), g) for g in want)
+
+
+def test_pairs_of_a_component_take_few_bytes():
+    import tracemalloc
+
+    a, b = (x.astype(np.int64) for x in np.triu_indices(500, 1))
+    d = np.linspace(0, 0.5, len(a))
+    tracemalloc.start()
+    clusters = cluster.linked_groups(a, b, d)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(clusters[0].tolist()) == {0} and len(clusters[1]) == 500 and peak < 120 * len(a)
